@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding, simhash
+from . import mixing, packing, sharding, simhash
 
 
 def queries() -> dict:
     return {
+        "op1_packing": packing.query,
         "op4_simhash": simhash.query,
         "op6_mixing": mixing.query,
         "op7_sharding": sharding.query,
