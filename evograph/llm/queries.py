@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, sharding, simhash
+from . import mixing, packing, sharding, simhash, warc
 
 
 def queries() -> dict:
@@ -11,8 +11,9 @@ def queries() -> dict:
         "op4_simhash": simhash.query,
         "op6_mixing": mixing.query,
         "op7_sharding": sharding.query,
+        "op10_warc": warc.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.SQL}
+    return {"op6_mixing": mixing.SQL, "op10_warc": warc.SQL}
