@@ -62,7 +62,7 @@ def crc_fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def arrow_pass(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str, rows: int = 512) -> DataFrame:
+def arrow_pass(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str | T.StructType, rows: int = 512) -> DataFrame:
     """``mapInArrow`` over slices of at most ``rows`` rows.
 
     ``make`` runs once a task and returns a function from a dictionary of input columns (lists)
@@ -82,7 +82,7 @@ def arrow_pass(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema
     return df.mapInArrow(run, schema)
 
 
-def _arrow_schema(schema: str) -> pa.Schema:
+def _arrow_schema(schema: str | T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    return to_arrow_schema(T._parse_datatype_string(schema))
+    return to_arrow_schema(T._parse_datatype_string(schema) if isinstance(schema, str) else schema)

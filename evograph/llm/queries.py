@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, rules, sharding, simhash, warc
+from . import linededup, mixing, packing, rules, sharding, simhash, warc
 
 
 def queries() -> dict:
     return {
         "op1_packing": packing.query,
+        "op2_line_dedup": linededup.query,
         "op3_rules": rules.query,
         "op4_simhash": simhash.query,
         "op6_mixing": mixing.query,
