@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import linededup, mixing, packing, rules, sharding, simhash, warc
+from . import classifier, linededup, mixing, packing, rules, sharding, simhash, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_simhash": simhash.query,
         "op6_mixing": mixing.query,
         "op7_sharding": sharding.query,
+        "op8_classifier": classifier.query,
         "op10_warc": warc.query,
     }
 
