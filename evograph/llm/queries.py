@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import classifier, linededup, mixing, packing, rules, sharding, simhash, warc
+from . import classifier, imatch, linededup, mixing, packing, rules, sharding, simhash, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_line_dedup": linededup.query,
         "op3_rules": rules.query,
         "op4_simhash": simhash.query,
+        "op5_imatch": imatch.query,
         "op6_mixing": mixing.query,
         "op7_sharding": sharding.query,
         "op8_classifier": classifier.query,
