@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import classifier, imatch, linededup, mixing, packing, rules, sharding, simhash, warc
+from . import classifier, imatch, linededup, mixing, packing, pii, rules, sharding, simhash, warc
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_mixing": mixing.query,
         "op7_sharding": sharding.query,
         "op8_classifier": classifier.query,
+        "op9_pii": pii.query,
         "op10_warc": warc.query,
     }
 
