@@ -20,7 +20,7 @@ from . import common
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 96, 48
-HIDDEN, STEPS, BATCH = 16, 260, 48
+HIDDEN, STEPS, BATCH = 16, 400, 48
 #: Training reads at most about this many documents, and of each at most so many windows.
 SAMPLE, SAMPLE_WINDOWS = 3_000, 6
 SEED = 20240704
