@@ -115,7 +115,8 @@ def remove_repeats(docs: DataFrame, passage: int = PASSAGE, id_col: str = "doc_i
 
         return step
 
-    bodies = common.arrow_pass(keyed.join(wanted, key), cut_out, "a long, b long, body binary").dropDuplicates(["a", "b"])
+    # No aggregate stands between this side and the join, so that a hot chunk's partition can be split; collect_set drops repeats.
+    bodies = common.arrow_pass(keyed.join(wanted, key), cut_out, "a long, b long, body binary")
     checks = again.join(bodies, ["a", "b"]).groupBy(*key).agg(F.collect_set(F.struct("chunk", "body")).alias("_again"))
 
     row_type = keyed.schema["_row"].dataType
