@@ -1,0 +1 @@
+"""Analytics on evolving graphs over Spark DataFrames."""
