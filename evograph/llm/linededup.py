@@ -95,7 +95,8 @@ def remove_repeats(docs: DataFrame, passage: int = PASSAGE, id_col: str = "doc_i
     repeated = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_c"), F.min(F.struct(*key, "chunk")).alias("_f")).where("_c > 1").select("a", "b", "_f")
     repeated = common.materialize(repeated, "repeated")
     here = F.struct(*key, "chunk")
-    again = found.join(repeated, ["a", "b"]).where(here != F.col("_f")).select(*key, "chunk", "a", "b")
+    # Written, so that the joins on hot chunks stand alone, where their partitions can be split.
+    again = common.materialize(found.join(repeated, ["a", "b"]).where(here != F.col("_f")).select(*key, "chunk", "a", "b"), "again")
     wanted = repeated.select("_f.*", "a", "b").groupBy(*key).agg(F.collect_list(F.struct("chunk", "a", "b")).alias("_wanted"))
 
     def cut_out():
