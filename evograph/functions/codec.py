@@ -65,7 +65,7 @@ def blocked_varbyte(ids, block: int = BLOCK) -> tuple[bytes, list[tuple[int, int
 
 
 def blocked_varbyte_decode(raw: bytes, marks: list[tuple[int, int, int]]) -> np.ndarray:
-    ends = [m[2] for m in marks[1:]] + [len(raw)]
+    ends = [m[2] for m in marks[1:]] + [len(raw)] * bool(marks)
     parts = [undeltas(varbyte_decode(raw[m[2] : z])) for m, z in zip(marks, ends, strict=True)]
     if any(len(p) != m[1] for p, m in zip(parts, marks, strict=True)):
         raise ValueError("a block has another number of values")
