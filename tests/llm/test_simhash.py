@@ -85,3 +85,61 @@ def test_one_per_group_keeps_the_columns(spark):
     docs = spark.createDataFrame([(5, text, "a"), (3, text, "b"), (9, "other " * 9 + "end", "c"), (None, text, "d")], "doc_id long, text string, component_id string")
     kept = simhash.one_per_group(docs)
     assert kept.columns == docs.columns and sorted(map(str, (r[0] for r in kept.collect()))) == ["3", "9", "None"]
+
+
+def jaccard(a, b):
+    x, y = ({tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def edited_corpus():
+    """Groups of a text and copies with words replaced, and texts alone."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(3, 8)))
+    rows = [(i, " ".join(word() for _ in range(rng.randint(150, 500)))) for i in range(120)]
+    near = []
+    for i in range(60):
+        words = rows[i][1].split()
+        for k in rng.sample(range(len(words)), max(1, len(words) // (60 if i % 2 else 200))):
+            words[k] = word()
+        near.append((1000 + i, " ".join(words)))
+    far = []
+    for i in range(60, 80):
+        words = rows[i][1].split()
+        for k in rng.sample(range(len(words)), len(words) // 10):
+            words[k] = word()
+        far.append((2000 + i, " ".join(words)))
+    return rows, near, far
+
+
+def test_edited_copies_go_and_others_stay(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "WIDE_SHARD", 8)
+    rows, near, far = edited_corpus()
+    texts = dict(rows)
+    assert all(jaccard(t, texts[i - 1000]) >= 0.8 for i, t in near) and all(jaccard(t, texts[i - 2000]) < 0.6 for i, t in far)
+    kept = {r[0] for r in simhash.one_per_group(spark.createDataFrame(rows + near + far, "doc_id long, text string")).collect()}
+    assert kept == set(texts) | {i for i, _ in far}
+    assert simhash.similar_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_wide_forest_has_the_components_of_all_links():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, (40, 8), np.uint64)
+    fp = np.concatenate([base] + [base[:20] ^ (rng.random((20, 8, 64)) < 0.1).dot(np.uint64(1) << np.arange(64, dtype=np.uint64)) for _ in range(4)])
+    limit = simhash.most_differing(0.8)
+    label = list(range(len(fp)))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a in range(len(fp)):
+        for b in range(a):
+            words = np.bitwise_count(fp[a] ^ fp[b])
+            if words[0] <= simhash.FIRST_WORD and words.sum() <= limit:
+                label[root(a)] = root(b)
+    for whole in (10, 1000):
+        a, b = simhash.wide_forest(fp, limit, whole)
+        assert len(a) == len(fp) - len({root(k) for k in range(len(fp))})
+        assert all(root(x) == root(y) for x, y in zip(a.tolist(), b.tolist(), strict=True))
