@@ -225,7 +225,9 @@ def wide_fingerprint(text: str | None, shingle: int = 5) -> bytes:
         x ^= x >> np.uint64(32)
         x *= np.uint64(0xD6E8FEB86659FD93)
         x ^= x >> np.uint64(32)
-        count += np.unpackbits(x.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int32)
+        bits = np.unpackbits(x.astype("<u8").view(np.uint8), axis=1, bitorder="little")
+        for k in range(0, len(bits), 255):  # so many ones fit in a byte
+            count += np.add.reduce(bits[k : k + 255], axis=0, dtype=np.uint8)
     return np.packbits((count * 2 > len(base)).astype(np.uint8), bitorder="little").tobytes()
 
 
@@ -245,7 +247,7 @@ def most_differing(similarity: float) -> int:
 def wide_forest(fp: np.ndarray, radius: int, whole: int = 65_536) -> tuple[np.ndarray, np.ndarray]:
     """Indexes (a, b) of a spanning forest of the graph that links rows of ``fp`` at ``radius`` or fewer differing bits.
 
-    Memory is linear in the rows.  A row that is linked leaves the rows to compare with, so a large group costs
+    Memory is linear in the rows.  In the search a row that is linked leaves the rows to compare with, so a large group costs
     one comparison a member with what is not in it; below ``whole`` rows, those without any link are set aside first.
     """
     n = len(fp)
@@ -256,10 +258,11 @@ def wide_forest(fp: np.ndarray, radius: int, whole: int = 65_536) -> tuple[np.nd
 
     if n <= whole:
         linked, first = np.zeros(n, bool), np.ascontiguousarray(fp[:, 0])
-        for at in range(0, n, 64):
-            loose = np.bitwise_count(first[at : at + 64, None] ^ first[None, at:]) <= FIRST_WORD
-            linked[at : at + 64] |= loose.sum(1) > 1
-            linked[at:] |= (loose.sum(0) - (np.arange(n - at) < len(loose))) > 0
+        for at in range(0, n, 16):
+            i, j = np.nonzero(np.bitwise_count(first[at : at + 16, None] ^ first[None, at:]) <= FIRST_WORD)
+            i, j = i[i < j] + at, j[i < j] + at
+            near = np.bitwise_count(fp[i] ^ fp[j]).sum(1, dtype=np.int64) <= radius
+            linked[i[near]] = linked[j[near]] = True
         left = np.flatnonzero(linked)
     else:
         left = np.arange(n)
