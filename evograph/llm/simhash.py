@@ -17,6 +17,7 @@ Texts of a given shingle similarity differ in far more than 3 bits.  To group th
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -216,7 +217,9 @@ def wide_fingerprint(text: str | None, shingle: int = 5) -> bytes:
     if not words:
         return bytes(8 * WORDS)
     of = xxhash.xxh64_intdigest
-    hashes = {of(b" ".join(words[i : i + shingle]), SEED) for i in range(max(1, len(words) - shingle + 1))}
+    spaced = b" ".join(words)
+    ends = list(accumulate(len(w) + 1 for w in words))
+    hashes = {of(spaced[a : b - 1], SEED) for a, b in zip([0, *ends], ends[min(shingle, len(ends)) - 1 :], strict=False)}
     base = np.fromiter(hashes, np.uint64, len(hashes))
     count = np.zeros(64 * WORDS, np.int64)
     for at in range(0, len(base), 4_096):
