@@ -4,12 +4,18 @@ Lines are hashed, and a rolling hash over the last line hashes decides where a c
 boundaries depend on nearby content only and shift with it.  A line long enough to stand alone is
 bounded on both sides.  Chunks that occur more than once anywhere are compared byte by byte with
 their first occurrence (by doc_id, then position), and runs of such chunks long enough to be a passage are removed.
+
+What line chunks cannot see, passages that begin or end inside a line or consist of short lines, is found by words before that.
+Winnowed hashes of ``GRAM`` words nominate texts: any ``WINDOW`` words that two places share hold a common one.  There
+all windows of ``WINDOW`` words are hashed, and those with an earlier occurrence are compared byte by byte with it and cut.
 """
 
 from __future__ import annotations
 
+import re
 from itertools import groupby
 
+import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +30,9 @@ ONE_IN = 2
 LONG_LINE = 16
 #: Words from which a run of repeated chunks is a passage and goes.
 PASSAGE = 32
+#: Words of a window, from which a passage goes wherever it begins, and of a winnowed hash.
+WINDOW, GRAM = 50, 20
+_WORD = re.compile(common.WORD.encode())
 
 
 def chunks(text: str | None, long_line: int = LONG_LINE) -> tuple[list[str], list[tuple[list[int], int, bytes]]]:
@@ -151,15 +160,199 @@ def remove_repeats(docs: DataFrame, passage: int = PASSAGE, id_col: str = "doc_i
     return done.select(*back, *(c for c in ("_lines", "_removed_lines", "_removed_words") if c not in columns))
 
 
+def _rolled(h: np.ndarray, words: int, odd: int) -> np.ndarray:
+    """Hashes of every run of so many words, from the words' hashes."""
+    out = np.zeros(len(h) - words + 1, np.uint64)
+    for k in range(words):
+        out *= np.uint64(odd)
+        out += h[k : k + len(out)]
+    out ^= out >> np.uint64(31)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    return out ^ out >> np.uint64(32)
+
+
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def _grams(h: np.ndarray) -> np.ndarray:
+    return _rolled(h, GRAM, 0x9E3779B97F4A7C15)
+
+
+def _winnowed(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least hash of every window, each once, and how often it occurs in ``g``."""
+    least, k, w = g, 1, WINDOW - GRAM + 1
+    while 2 * k <= w:
+        least, k = np.minimum(least[:-k], least[k:]), 2 * k
+    least = np.unique(np.minimum(least[: len(g) - w + 1], least[w - k :]))
+    values, times = np.unique(g, return_counts=True)
+    return least, times[np.searchsorted(values, least)]
+
+
+def _without(text: str, cuts: list[tuple[int, int]]) -> tuple[str, int]:
+    """``text`` without the words of ``cuts`` (from, to), and their number.  Of the white space around a cut one side stays, a line end first."""
+    raw = text.encode("utf-8", "surrogatepass")
+    spans = [m.span() for m in _WORD.finditer(raw)]
+    gone = np.zeros(len(spans) + 1, np.int8)
+    for a, z in cuts:
+        gone[a:z] = 1
+    gone[-1] = 0
+    if gone[:-1].all():
+        return "", len(spans)
+    edges = np.flatnonzero(np.diff(gone, prepend=0, append=0)).tolist()
+    out, at = [], 0
+    for a, z in zip(edges[::2], edges[1::2], strict=True):
+        start, left = spans[a][0], spans[a - 1][1] if a else 0
+        end, right = spans[z - 1][1], spans[z][0] if z < len(spans) else len(raw)
+        if z < len(spans) and (a == 0 or b"\n" in raw[left:start]):
+            out.append(raw[at:start])
+            at = right
+        else:
+            out.append(raw[at:left])
+            at = end
+    return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass"), int(gone.sum())
+
+
+def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without passages of ``WINDOW`` words or more that occur earlier, and ``_lines``, ``_cut_lines``, ``_cut_words`` added.
+
+    Every word goes that lies in a window of ``WINDOW`` words with an earlier occurrence, in the order of ``remove_repeats``, but for words
+    of that first occurrence itself where the two overlap.  White space between words does not count.  Other texts come back unchanged.
+    """
+    columns, key = docs.columns, ["_n", "_i", "_h"]
+    keyed = docs.select(
+        F.coalesce(F.col(id_col).isNull(), F.lit(True)).alias("_n"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("_i"), F.xxhash64(text_col).alias("_h"),
+        F.col(text_col).alias("_text"), F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns))).alias("_row"),
+    )
+    key_schema = "_n boolean, _i long, _h long"
+
+    def emitted(of):
+        """A pass that gives the columns of ``of(words, row)``, by name, with the row's key; none for None."""
+
+        def step(x):
+            keys: dict[str, list] = {k: [] for k in key}
+            columns: dict[str, list] = {}
+            for at, text in enumerate(x["_text"]):
+                words = (text or "").encode("utf-8", "surrogatepass").split()
+                got = of(words, {k: v[at] for k, v in x.items()}) if len(words) >= WINDOW else None
+                if got:
+                    n = len(next(iter(got.values())))
+                    for k in key:
+                        keys[k] += [x[k][at]] * n
+                    for k, v in got.items():
+                        columns.setdefault(k, []).append(v)
+            if not columns:
+                return dict.fromkeys(out_columns, []) | keys
+            return keys | {k: np.concatenate(v) for k, v in columns.items()}
+
+        out_columns = ("g", "times", "at", "a", "b")
+        return lambda: step
+
+    def anchors(words, row):
+        g, times = _winnowed(_grams(_word_hashes(words)))
+        return {"g": g.view(np.int64), "times": times}
+
+    def windows(words, row):
+        h = _word_hashes(words)
+        near = np.cumsum(np.concatenate([[0], np.isin(_grams(h).view(np.int64), np.array(row["_near"], np.int64))]))
+        w = WINDOW - GRAM + 1
+        at = np.flatnonzero(near[w:] > near[:-w])
+        return {"at": at, "a": _rolled(h, WINDOW, 0xBF58476D1CE4E5B9)[at].view(np.int64), "b": _rolled(h, WINDOW, 0x94D049BB133111EB)[at].view(np.int64)}
+
+    found = common.materialize(common.arrow_pass(keyed.select(*key, "_text"), emitted(anchors), f"{key_schema}, g long, times int"), "anchors")
+    often = common.materialize(found.groupBy("g").agg(F.sum("times").alias("_c")).where("_c > 1").select("g"), "often")
+    # Written, as below, so that the joins on hot hashes stand alone, where their partitions can be split.
+    near = common.materialize(found.join(often, "g").select(*key, "g"), "near").groupBy(*key).agg(F.collect_set("g").alias("_near"))
+    held = common.materialize(common.arrow_pass(keyed.select(*key, "_text").join(near, key), emitted(windows), f"{key_schema}, at int, a long, b long"), "windows")
+    here = F.struct(*key, "at")
+    first = common.materialize(held.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_c"), F.min(here).alias("_f")).where("_c > 1").select("a", "b", "_f"), "first")
+    again = common.materialize(held.join(first, ["a", "b"]).where(here != F.col("_f")).select(*key, "at", F.col("_f._n").alias("fn"), F.col("_f._i").alias("fi"), F.col("_f._h").alias("fh"), F.col("_f.at").alias("fat")), "again_windows")
+
+    def joined():
+        """Windows that follow each other here and in the first occurrence become one piece."""
+
+        def step(x):
+            out: dict[str, list] = {k: [] for k in (*key, "at", "fn", "fi", "fh", "fat", "n")}
+            for n, i, h, all_ in zip(x["_n"], x["_i"], x["_h"], x["_all"], strict=True):
+                last = None
+                for w in sorted({(w["at"], w["fn"], w["fi"], w["fh"], w["fat"]) for w in all_}):
+                    if last and w == (last[0] + 1, *last[1:4], last[4] + 1):
+                        out["n"][-1] += 1
+                    else:
+                        for name, v in zip(out, (n, i, h, *w, WINDOW), strict=True):
+                            out[name].append(v)
+                    last = w
+            return out
+
+        return step
+
+    pieces = again.groupBy(*key).agg(F.collect_list(F.struct("at", "fn", "fi", "fh", "fat")).alias("_all"))
+    pieces = common.materialize(common.arrow_pass(pieces, joined, f"{key_schema}, at int, fn boolean, fi long, fh long, fat int, n int"), "pieces")
+    of_first = ["fn", "fi", "fh", "fat", "n"]
+    wanted = pieces.groupBy(F.col("fn").alias("_n"), F.col("fi").alias("_i"), F.col("fh").alias("_h")).agg(F.collect_set(F.struct("fat", "n")).alias("_wanted"))
+
+    def cut_out():
+        def step(x):
+            out: dict[str, list] = {k: [] for k in (*of_first, "body")}
+            seen = set()
+            for n, i, h, text, wanted in zip(x["_n"], x["_i"], x["_h"], x["_text"], x["_wanted"], strict=True):
+                if (n, i, h) in seen:
+                    continue
+                seen.add((n, i, h))
+                words = text.encode("utf-8", "surrogatepass").split()
+                for w in wanted:
+                    for name, v in zip(out, (n, i, h, w["fat"], w["n"], b" ".join(words[w["fat"] : w["fat"] + w["n"]])), strict=True):
+                        out[name].append(v)
+            return out
+
+        return step
+
+    bodies = common.arrow_pass(keyed.select(*key, "_text").join(wanted, key), cut_out, "fn boolean, fi long, fh long, fat int, n int, body binary")
+    checks = pieces.join(bodies, of_first).groupBy(*key).agg(F.collect_set(F.struct("at", *of_first, "body")).alias("_again"))
+
+    def edited():
+        def step(x):
+            out: dict[str, list] = {"_row": x["_row"], "_new": [], "_lines": [], "_cut_lines": [], "_cut_words": []}
+            for n, i, h, text, again in zip(x["_n"], x["_i"], x["_h"], x["_text"], x["_again"], strict=True):
+                new, lines, count = text, 0, 0
+                if again:
+                    words, cuts = text.encode("utf-8", "surrogatepass").split(), []
+                    for p in again:
+                        a, z = p["at"], p["at"] + p["n"]
+                        if b" ".join(words[a:z]) == p["body"]:
+                            own = (p["fn"], p["fi"], p["fh"]) == (n, i, h)
+                            cuts.append((max(a, p["fat"] + WINDOW) if own else a, z))
+                    if cuts:
+                        new, count = _without(text, cuts)
+                        lines = text.count("\n") - new.count("\n") + (not new)
+                for name, v in (("_new", new), ("_lines", 0 if text is None else text.count("\n") + 1), ("_cut_lines", lines), ("_cut_words", count)):
+                    out[name].append(v)
+            return out
+
+        return step
+
+    schema = T.StructType([T.StructField("_row", keyed.schema["_row"].dataType), T.StructField("_new", T.StringType()), *(T.StructField(n, T.LongType()) for n in ("_lines", "_cut_lines", "_cut_words"))])
+    done = common.arrow_pass(keyed.join(checks, key, "left"), edited, schema)
+    return done.select(*(F.col("_new").alias(c) if c == text_col else F.col(f"_row.c{k}").alias(c) for k, c in enumerate(columns)), *(c for c in ("_lines", "_cut_lines", "_cut_words") if c not in columns))
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` without repeated passages; ``n_chars`` follows the text."""
-    out = remove_repeats(docs)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_removed_lines") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    columns = docs.columns
+    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns if c != "text")).alias("_doc"), F.col("doc_id"), F.col("text"))
+    got = remove_repeats(common.materialize(remove_passages(named).select("_doc", "doc_id", "text", "_cut_words"), "passages"))
+    kept = {c: F.col(f"_doc.`{c}`").alias(c) for c in columns} | {"text": F.col("text")}
+    if "n_chars" in columns:
+        size = F.when(F.col("_removed_words") + F.col("_cut_words") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
+        kept["n_chars"] = size.otherwise(F.col("_doc.n_chars")).alias("n_chars")
+    return got.select(*kept.values())
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op2: every document without the passages that an earlier one has."""
-    got = remove_repeats(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return got.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed_lines").alias("n_removed_lines"), F.col("_removed_words").alias("n_removed_words"), "text")
+    got = remove_passages(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    got = remove_repeats(common.materialize(got, "passages"))
+    return got.select(
+        "doc_id", F.col("_lines").alias("n_lines"), (F.col("_removed_lines") + F.col("_cut_lines")).alias("n_removed_lines"),
+        (F.col("_removed_words") + F.col("_cut_words")).alias("n_removed_words"), "text",
+    )

@@ -69,3 +69,38 @@ def test_boundaries_resist_shifts():
     a = {raw for _, _, raw in linededup.chunks(text)[1]}
     b = {raw for _, _, raw in linededup.chunks("a new first line\n" + text)[1]}
     assert len(a - b) <= 2
+
+
+def shared_words(a, b, n=51):
+    grams = lambda t: {tuple(t.split()[k : k + n]) for k in range(len(t.split()) - n + 1)}
+    return grams(a) & grams(b)
+
+
+def test_passages_within_lines_and_of_short_lines_go(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(9, 12)))
+    words = lambda n: [word() for _ in range(n)]
+    rows, last = [], 0
+    for i in range(60):
+        width, total = rng.choice([(200, 51), (9, 54), (15, 60), (10, 120), (200, 80)])
+        passage = words(total)
+        body = "\n".join(" ".join(passage[k : k + width]) for k in range(0, total, width))
+        for _ in range(2):
+            rows.append((last, " ".join(words(rng.randint(5, 90))) + rng.choice([" ", "\n"]) + body + rng.choice([" ", "\n"]) + " ".join(words(rng.randint(5, 90))) + "\nend"))
+            last += 1
+    # An anchor whose first occurrence is short, a passage that overlaps itself, and a part of an earlier passage.
+    p = words(70)
+    rows += [(last, " ".join(words(9) + p[20:50] + words(9))), (last + 1, " ".join(words(9) + p + words(9))), (last + 2, " ".join(words(7) + p + words(7)))]
+    rows += [(last + 3, " ".join(["again"] * 80)), (last + 4, None), (last + 5, "short")]
+    docs = spark.createDataFrame([(i, t, "x", -1) for i, t in rows], "doc_id long, text string, lang string, n_chars long")
+    got = {r.doc_id: r for r in linededup.deduplicated(docs).collect()}
+    assert len(got) == len(rows) and got[last + 4].text is None and got[last + 5].text == "short"
+    for k in range(0, 120, 2):
+        assert got[k].text == rows[k][1] and got[k].n_chars == -1
+        assert shared_words(rows[k][1], rows[k + 1][1]) and not shared_words(got[k].text, got[k + 1].text)
+        kept = got[k + 1].text.split()
+        passage = [w for w in rows[k + 1][1].split() if w in set(rows[k][1].split()) - {"end"}]
+        assert kept == [w for w in rows[k + 1][1].split() if w not in passage] and got[k + 1].n_chars == len(got[k + 1].text)
+        assert got[k + 1].text.endswith("\nend")
+    assert got[last + 1].text == rows[last + 1][1] and len(got[last + 2].text.split()) == 14
+    assert got[last + 3].text.split() == ["again"] * 50
