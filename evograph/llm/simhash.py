@@ -10,8 +10,8 @@ query the inner branch.  So shards that overlap a boundary see both sides, and n
 Inside a shard, links become a spanning forest, never all pairs, and forests are joined by
 alternating large-star and small-star steps.
 
-Texts of a given shingle similarity differ in far more than 3 bits.  To group those, fingerprints of
-512 bits are searched through ten trees over slices of 16 bits, with radius 1 in each, and compared whole.
+Texts of a given shingle similarity differ in far more than 3 bits, and no limit on a sketch tells them exactly.  The pipeline
+groups those by their shingle sets: a prefix filter finds every pair of Jaccard 0.8 or more, and each link is computed exactly.
 """
 
 from __future__ import annotations
@@ -42,6 +42,8 @@ SIMILARITY = 0.8
 SLACK = 8
 #: Bits in which the first words of linked fingerprints may differ, over three standard deviations above the mean.
 FIRST_WORD = 20
+#: Texts by which shingles are ordered for the prefix filter.
+ORDER_SAMPLE = 4_000
 _ODD = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64 | 1 for k in range(WORDS)], np.uint64)[None, :]
 
 
@@ -316,30 +318,114 @@ def _slices(fps: list[bytes]) -> list[np.ndarray]:
     return [np.ascontiguousarray(words[:, k] & np.uint32((1 << SLICE) - 1)) for k in range(TREES)]
 
 
-def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id): groups of texts whose word shingles are similar, as wide fingerprints tell.
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles; a shorter text is one shingle, and one without words has none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    of, spaced = xxhash.xxh64_intdigest, b" ".join(words)
+    ends = list(accumulate(len(w) + 1 for w in words))
+    hashes = {of(spaced[a : b - 1], SEED) for a, b in zip([0, *ends], ends[min(shingle, len(ends)) - 1 :], strict=False)} if words else ()
+    return np.sort(np.fromiter(hashes, np.uint64, len(hashes)))
 
-    A similarity of 0.8 moves about 77 of 512 bits with a standard deviation of 8, too many for a radius of 3 in
-    64 bits, which only finds copies with next to no change.  ``component_id`` is the group's smallest ``doc_id``
-    (null ids name no group).  Texts without words are equal to each other, repeated rows stay, other columns are
-    not looked at and an empty table gives no rows.  Equal fingerprints are one node, named by a 64-bit hash.
+
+def set_name(of: np.ndarray) -> int:
+    """A signed 64-bit name of a shingle set."""
+    return int(np.uint64(xxhash.xxh64_intdigest(of.tobytes(), SEED)).astype(np.int64))
+
+
+def _frequent(nodes: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles of several texts of a bounded sample, the more frequent the later.  They only order a set's shingles."""
+    texts = [r[0] for r in nodes.orderBy(F.xxhash64("node")).limit(ORDER_SAMPLE).select(F.substring("text", 1, 4_000)).collect()]
+    if not texts:
+        return np.empty(0, np.uint64)
+    values, times = np.unique(np.concatenate([shingle_set(t, shingle) for t in texts]), return_counts=True)
+    often = np.flatnonzero(times > 1)
+    return values[often[np.lexsort((values[often], times[often]))]]
+
+
+def similar_links(nodes: DataFrame, similarity: float, shingle: int, rank: np.ndarray) -> DataFrame:
+    """(u, v): pairs of ``nodes`` (node, text; one row a shingle set) of exact Jaccard ``similarity`` or more that keep the components of all such pairs.
+
+    In any common order of shingles, two similar sets share one among the first n - ceil(similarity n) + 1 of each; rare ones come first.
     """
+    spark = nodes.sparkSession
+    order = np.argsort(rank)
+    ranked = spark.sparkContext.broadcast((rank[order], order))
+
+    def prefixes():
+        known, place = ranked.value
 
-    def make():
         def step(x):
-            fps = [wide_fingerprint(t, shingle) for t in x["t"]]
-            return {"doc_id": x["i"], "node": [node_of(fp) for fp in fps], "fp": fps}
+            out: dict[str, list] = {"token": [], "node": [], "n": [], "p": []}
+            for node, text in zip(x["node"], x["text"], strict=True):
+                hashes = shingle_set(text, shingle)
+                n = len(hashes)
+                if n:
+                    at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
+                    late = np.where(known[at] == hashes, place[at], -1) if len(known) else np.full(n, -1)
+                    first = hashes[np.lexsort((hashes, late))][: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+                    out["token"].append(first.view(np.int64))
+                    out["node"].append(np.full(len(first), node))
+                    out["n"].append(np.full(len(first), n))
+                    out["p"].append(np.arange(len(first)))
+            return {k: np.concatenate(v) if v else [] for k, v in out.items()}
 
         return step
 
-    prints = common.arrow_pass(docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")), make, "doc_id long, node long, fp binary")
-    prints = common.materialize(prints, "wide_fingerprints")
-    nodes = common.materialize(prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp")), "wide_nodes")
-    found = components(wide_links(nodes, similarity))
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (u, v) whose sets are as similar as wanted."""
+
+        def step(x):
+            out: dict[str, list] = {"u": [], "v": []}
+            for u, v, a, b in zip(x["u"], x["v"], x["a"], x["b"], strict=True):
+                a, b = shingle_set(a, shingle), shingle_set(b, shingle)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                if both >= similarity * (len(a) + len(b) - both) - 1e-9:
+                    out["u"].append(u)
+                    out["v"].append(v)
+            return out
+
+        texts = pairs.join(nodes.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(nodes.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
+        return common.materialize(common.arrow_pass(texts, lambda: step, "u long, v long", 64), "verified")
+
+    schema = "token long, node long, n int, p int"
+    held = common.materialize(common.arrow_pass(nodes.select("node", "text"), prefixes, schema), "prefixes")
+    shared = common.materialize(held.groupBy("token").agg(F.count(F.lit(1)).alias("_c"), F.min("node").alias("rep")).where("_c > 1").select("token", "rep"), "shared")
+    held = common.materialize(held.join(shared, "token"), "shared_prefixes")
+    # First every set with the one that leads most of its shingles: a large group becomes one component by one comparison a member.
+    votes = held.where("node <> rep").groupBy("node", "rep").agg(F.count(F.lit(1)).alias("_c"))
+    first = verified(votes.groupBy("node").agg(F.max(F.struct("_c", "rep")).alias("_m")).select(F.col("node").alias("u"), F.col("_m.rep").alias("v")))
+    found = components(first)
+    # Then all pairs with a shared shingle that are not in one component yet and can be similar by size and place.
+    held = held.select("token", "node", "n", "p").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    held = common.materialize(held, "placed")
+    mixed = held.groupBy("token").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("token")
+    held = common.materialize(held.join(mixed, "token"), "mixed")
+    a, b = (held.select("token", *(F.col(c).alias(c + side) for c in ("node", "n", "p", "component"))) for side in "xy")
+    most = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
+    near = (F.col("nodex") < F.col("nodey")) & (F.col("componentx") != F.col("componenty")) & (most >= similarity / (1 + similarity) * (F.col("nx") + F.col("ny")) - 1e-9)
+    pairs = common.materialize(a.join(b, "token").where(near).select(F.col("nodex").alias("u"), F.col("nodey").alias("v")).distinct(), "pairs")
+    return first.unionByName(verified(pairs)).distinct()
+
+
+def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id): groups of texts linked by a Jaccard similarity of ``similarity`` or more of their word shingles.
+
+    Every such pair is found and every link is computed on the shingle sets; no sketch decides.  ``component_id`` is the group's smallest ``doc_id``
+    (null ids name no group).  Texts without words are equal to each other, repeated rows stay, other columns are
+    not looked at and an empty table gives no rows.  Equal sets are one node; shingles and sets are told apart by 64-bit hashes.
+    """
+
+    def make():
+        return lambda x: {"doc_id": x["i"], "node": [set_name(shingle_set(t, shingle)) for t in x["t"]], "text": x["t"]}
+
+    named = common.arrow_pass(docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")), make, "doc_id long, node long, text string")
+    named = common.materialize(named, "shingle_sets")
+    nodes = common.materialize(named.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("text").alias("text")), "set_nodes")
+    found = components(similar_links(nodes.select("node", "text"), similarity, shingle, _frequent(nodes, shingle)))
     classes = nodes.select("node", "first_id").join(found, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
     smallest = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = classes.join(smallest, "component").select("node", "component_id")
-    return prints.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+    back = classes.join(smallest, "component").select("node", "component_id")
+    return named.select("doc_id", "node").join(back, "node").select("doc_id", "component_id")
 
 
 def one_per_group(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = 5) -> DataFrame:

@@ -143,3 +143,52 @@ def test_wide_forest_has_the_components_of_all_links():
         a, b = simhash.wide_forest(fp, limit, whole)
         assert len(a) == len(fp) - len({root(k) for k in range(len(fp))})
         assert all(root(x) == root(y) for x, y in zip(a.tolist(), b.tolist(), strict=True))
+
+
+def groups_by_brute_force(rows):
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [grams(t) for _, t in rows]
+    label = list(range(len(rows)))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0:
+                label[root(a)] = root(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[root(k)] = min(i, least.get(root(k), i))
+    return sorted((i, least[root(k)]) for k, (i, _) in enumerate(rows))
+
+
+def borderline_corpus():
+    """Pairs around a Jaccard similarity of 0.8, of long and very short texts, in front of a common opening."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(4, 9)))
+    opening = " ".join(word() for _ in range(12))
+    rows = []
+    for i in range(150):
+        n = rng.choice([3, 6, 9, 12, 40, 120, 300])
+        words = [word() for _ in range(n)]
+        rows.append((10 * i, (opening + " " if i % 2 and n > 30 else "") + " ".join(words)))
+        for k in (1, 2):
+            other = list(words)
+            for at in rng.sample(range(n), max(1, n // rng.choice([40, 45, 50, 60])) if n > 30 else 0):
+                other[at] = word()
+            rows.append((10 * i + k, (opening + " " if i % 2 and n > 30 else "") + " ".join([*other, *(word() for _ in range(k if n < 30 else 0))])))
+    return [*rows, (9000, ""), (9001, " "), (9002, "four words are here"), (9003, "four words are here now")]
+
+
+def test_only_links_of_enough_exact_similarity_group(spark):
+    rows = borderline_corpus()
+    got = sorted(map(tuple, simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    want = dict(groups_by_brute_force(rows))
+    assert not [(i, c) for i, c in got if c < want[i]]
+    assert sum(i != c for i, c in want.items()) > 50 and sum(i == c for i, c in want.items() if i % 10) > 50
