@@ -34,8 +34,8 @@ SHARD = 1_024
 RADIUS = 3
 SEED = 42
 
-#: Wide fingerprints: words of 64 bits, trees, and the bits of a slice that a tree stands over.
-WORDS, TREES, SLICE = 8, 10, 16
+#: Wide fingerprints: words of 64 bits, and rows of a shard.  Only ``wide_forest`` and its limits below use them; the pipeline does not.
+WORDS = 8
 WIDE_SHARD = 4_096
 SIMILARITY = 0.8
 #: Bits granted beyond the mean at ``SIMILARITY``, one standard deviation.
@@ -44,7 +44,6 @@ SLACK = 8
 FIRST_WORD = 20
 #: Texts by which shingles are ordered for the prefix filter.
 ORDER_SAMPLE = 4_000
-_ODD = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64 | 1 for k in range(WORDS)], np.uint64)[None, :]
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -213,34 +212,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, id_
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def wide_fingerprint(text: str | None, shingle: int = 5) -> bytes:
-    """SimHash of 512 bits over the distinct word shingles; zeros for texts without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return bytes(8 * WORDS)
-    of = xxhash.xxh64_intdigest
-    spaced = b" ".join(words)
-    ends = list(accumulate(len(w) + 1 for w in words))
-    hashes = {of(spaced[a : b - 1], SEED) for a, b in zip([0, *ends], ends[min(shingle, len(ends)) - 1 :], strict=False)}
-    base = np.fromiter(hashes, np.uint64, len(hashes))
-    count = np.zeros(64 * WORDS, np.int64)
-    for at in range(0, len(base), 4_096):
-        # One hash a shingle, turned into eight by odd multipliers and shifts.
-        x = base[at : at + 4_096, None] * _ODD
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0xD6E8FEB86659FD93)
-        x ^= x >> np.uint64(32)
-        bits = np.unpackbits(x.astype("<u8").view(np.uint8), axis=1, bitorder="little")
-        for k in range(0, len(bits), 255):  # so many ones fit in a byte
-            count += np.add.reduce(bits[k : k + 255], axis=0, dtype=np.uint8)
-    return np.packbits((count * 2 > len(base)).astype(np.uint8), bitorder="little").tobytes()
-
-
-def node_of(fp: bytes) -> int:
-    """A signed 64-bit name of a wide fingerprint."""
-    return int(np.uint64(xxhash.xxh64_intdigest(fp, SEED)).astype(np.int64))
-
-
 def most_differing(similarity: float) -> int:
     """Bits of a wide fingerprint in which two texts of equal length and this Jaccard similarity differ on average.
 
@@ -285,39 +256,6 @@ def wide_forest(fp: np.ndarray, radius: int, whole: int = 65_536) -> tuple[np.nd
     return (np.concatenate(edges_a), np.concatenate(edges_b)) if edges_a else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
-def wide_links(nodes: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): links, by node, of the rows of ``nodes`` (fp binary, all distinct) that keep the components of all links found.
-
-    ``TREES`` vantage-point trees stand over as many slices of ``SLICE`` bits.  Two texts that agree to one bit
-    in any slice meet in a shard, and shards compare whole fingerprints, so texts that meet by nearness elsewhere link too.
-    """
-    n, radius = nodes.count(), most_differing(similarity)
-    sample = [r[0] for r in nodes.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()]
-    depth = min(max(0, int(np.ceil(np.log2(max(n, 1) / WIDE_SHARD)))), int(np.log2(max(len(sample), 2))) - 1)
-    trees = [Tree(x, depth) for x in _slices(sample)]
-
-    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1_024):
-                part = batch.slice(at, 1_024)
-                for k, (tree, x) in enumerate(zip(trees, _slices(part.column("fp").to_pylist()), strict=True)):
-                    rows, leaves = tree.route(x)
-                    yield pa.RecordBatch.from_arrays([pa.array(leaves * TREES + k, pa.int32()), part.column("fp").take(pa.array(rows))], ["shard", "fp"])
-
-    def in_shard(table: pa.Table) -> pa.Table:
-        fps = table.column("fp").to_pylist()
-        a, b = (np.array([node_of(fps[k]) for k in side], np.int64) for side in wide_forest(np.frombuffer(b"".join(fps), "<u8").reshape(-1, WORDS), radius))
-        return pa.table({"u": pa.array(np.minimum(a, b), pa.int64()), "v": pa.array(np.maximum(a, b), pa.int64())})
-
-    return nodes.select("fp").mapInArrow(routed, "shard int, fp binary").groupBy("shard").applyInArrow(in_shard, "u long, v long").distinct()
-
-
-def _slices(fps: list[bytes]) -> list[np.ndarray]:
-    """The first ``SLICE`` of every 32 bits of each fingerprint, one array a tree."""
-    words = np.frombuffer(b"".join(fps), "<u4").reshape(-1, 2 * WORDS)
-    return [np.ascontiguousarray(words[:, k] & np.uint32((1 << SLICE) - 1)) for k in range(TREES)]
-
-
 def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; a shorter text is one shingle, and one without words has none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()

@@ -192,3 +192,10 @@ def test_only_links_of_enough_exact_similarity_group(spark):
     want = dict(groups_by_brute_force(rows))
     assert not [(i, c) for i, c in got if c < want[i]]
     assert sum(i != c for i, c in want.items()) > 50 and sum(i == c for i, c in want.items() if i % 10) > 50
+
+
+def test_no_pair_of_enough_similarity_is_missed(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "WIDE_SHARD", 8)
+    rows = borderline_corpus()
+    got = sorted(map(tuple, simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == groups_by_brute_force(rows)
