@@ -3,7 +3,7 @@
 The network, trained in numpy from labelled spans, reads overlapping windows of characters and the best
 tag path of each window is decoded.  Spans of all windows of a text are reconciled: those cut by a window's edge
 go, as do those that overlap a better one or a base span, and an exact check of the kind's form follows.
-Every valid span holds a digit or an at sign; windows without one can't hold a span, so they aren't run.  That changes no result.
+Every valid span holds a digit, an at sign or a written "(at)" or "[at]"; windows without one can't hold a span, so they aren't run.  That changes no result.
 """
 
 from __future__ import annotations
@@ -19,13 +19,16 @@ from pyspark.sql import functions as F
 from . import common
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, STRIDE = 96, 48
+#: Spans of up to WINDOW - STRIDE - 2 = 254 characters, which no address exceeds, lie inside a window, clear of its edges.
+WINDOW, STRIDE = 320, 64
+#: Windows of training, which are shorter since made-up lines are.
+LEARN_WINDOW, LEARN_STRIDE = 96, 48
 HIDDEN, STEPS, BATCH = 16, 400, 48
 #: Training reads at most about this many documents, and of each at most so many windows.
 SAMPLE, SAMPLE_WINDOWS = 3_000, 6
 SEED = 20240704
 
-_ANCHOR = re.compile(r"[0-9@]")
+_ANCHOR = re.compile(r"[0-9@]|\(at\)|\[at\]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 #: A match starts where its run of digits does, so looking no further back keeps long runs linear.
@@ -104,25 +107,33 @@ def classes(text: str) -> np.ndarray:
     return np.where(points < 128, _table[np.minimum(points, 127)], 4).astype(np.uint8)
 
 
-def windows(text: str, pruned: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, class windows) that cover the text, without those that hold neither digit nor at sign."""
+def windows(text: str, pruned: bool = True, window: int = WINDOW, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, class windows) that cover the text, without those that hold no digit, at sign or written one."""
     c = classes(text)
-    n = max(1, -(-(len(c) - (WINDOW - STRIDE)) // STRIDE))
-    padded = np.zeros((n - 1) * STRIDE + WINDOW, np.uint8)
+    n = max(1, -(-(len(c) - (window - stride)) // stride))
+    padded = np.zeros((n - 1) * stride + window, np.uint8)
     padded[: len(c)] = c
-    all_windows = np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE]
-    keep = ((all_windows == 1) | (all_windows == 7)).any(1) if pruned else np.ones(n, bool)
-    return np.flatnonzero(keep) * STRIDE, all_windows[keep]
+    all_windows = np.lib.stride_tricks.sliding_window_view(padded, window)[::stride]
+    keep = np.ones(n, bool)
+    if pruned:
+        marks = np.zeros((2, len(padded) + 1), np.int64)  # anchors that start, and that end, before a place
+        for m in _ANCHOR.finditer(text):
+            marks[0, m.start() + 1] += 1
+            marks[1, m.end()] += 1
+        marks = marks.cumsum(1)
+        at = np.arange(n) * stride
+        keep = marks[1, at + window] > marks[0, at]
+    return np.flatnonzero(keep) * stride, all_windows[keep]
 
 
 TAGS = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
 
 
-def tags_of(spans: list[tuple[int, int, int]], start: int) -> np.ndarray:
-    tags = np.zeros(WINDOW, np.int64)
+def tags_of(spans: list[tuple[int, int, int]], start: int, window: int = LEARN_WINDOW) -> np.ndarray:
+    tags = np.zeros(window, np.int64)
     for a, kind, z in spans:
         a, z = a - start, z - start
-        if a < WINDOW and z > 0:
+        if a < window and z > 0:
             tags[max(a, 0) : z] = 2 + 2 * kind
             if a >= 0:
                 tags[a] = 1 + 2 * kind
@@ -273,7 +284,7 @@ _FORMS = {
 def valid(kind: int, span: str) -> bool:
     """The exact check of a decoded span."""
     digits = _DIGITS.findall(span)
-    if not _FORMS[kind].fullmatch(span) or not _ANCHOR.search(span):
+    if not _FORMS[kind].fullmatch(span):
         return False
     if kind == 1:
         return all(int(p) <= 255 for p in re.findall("[0-9]+", span))
@@ -306,7 +317,7 @@ def reconcile(text: str, starts: np.ndarray, paths: np.ndarray, base: list[tuple
     return sorted(taken)
 
 
-def find(texts: list[str | None], tagger: Tagger, pruned: bool = True, block: int = 2_048) -> list[tuple[list, list]]:
+def find(texts: list[str | None], tagger: Tagger, pruned: bool = True, block: int = 512) -> list[tuple[list, list]]:
     """(base spans, all spans) of each text."""
     texts = [t or "" for t in texts]
     out = [([], []) for _ in texts]
@@ -350,6 +361,9 @@ def _made_up(rng: random.Random, context: list[str], word) -> tuple[str, list[tu
 
     def email() -> str:
         name, host = word(), word()
+        if rng.random() < 0.35:  # spelled out, most without a digit
+            at, dot = rng.choice([" (at) ", " [at] ", "(at)", "[at]", " @ "]), rng.choice([" (dot) ", " [dot] ", "(dot)", "[dot]", "."])
+            return f"{name}{rng.choice(['', '.' + word(), '_' + word(), digits(2)])}{at}{host}{rng.choice(['', dot + word()])}{dot}{rng.choice(['com', 'org', 'net', 'example'])}"
         return rng.choice([f"{name}.{digits(2)}@{host}.example.com", f"{name}@{host}.org", f"{name}_{word()}@mail{digits(1)}.{host}.net", f"{name} @ {host}.com", f"{name}{digits(2)} (at) {host}.com", f"{name}@{host} .org"])
 
     def address() -> str:
@@ -383,7 +397,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, steps: int = STEPS) -> Tagger:
         def step(x):
             out: dict[str, list] = {"doc_id": [], "x": [], "y": [], "words": []}
             for i, t in zip(x["doc_id"], x["t"], strict=True):
-                starts, got = windows(t or "")
+                starts, got = windows(t or "", True, LEARN_WINDOW, LEARN_STRIDE)
                 base = base_spans(t or "")
                 for k in np.unique(np.linspace(0, len(got) - 1, min(len(got), SAMPLE_WINDOWS)).astype(int)).tolist() if len(got) else []:
                     out["doc_id"].append(i)
@@ -407,7 +421,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, steps: int = STEPS) -> Tagger:
     x, y = [], []
     for _ in range(3_000):
         line, spans = _made_up(rng, context, word)
-        starts, got = windows(line)
+        starts, got = windows(line, True, LEARN_WINDOW, LEARN_STRIDE)
         for at, w in zip(starts.tolist(), got, strict=True):
             x.append(w)
             y.append(tags_of(spans, at))

@@ -125,3 +125,36 @@ def test_tagger_finds_held_out_spans(trained):
         found = pii.find([line], tagger)[0][1]
         right, total = right + sum(s in found for s in spans), total + len(spans)
     assert right > 0.9 * total
+
+
+def test_spelled_out_addresses_without_digits_are_found(trained):
+    _, tagger = trained
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 8)))
+    assert pii.valid(0, "jane.doe (at) example (dot) org") and not pii.valid(0, "jane (dot) doe")
+    found = total = 0
+    for _ in range(60):
+        made = f"{word()}.{word()}{rng.choice([' (at) ', ' [at] '])}{word()}{rng.choice([' (dot) ', ' [dot] '])}{rng.choice(['org', 'com'])}"
+        before = " ".join(word() for _ in range(rng.randint(2, 150))) + ", "
+        text = before + made + "\n" + " ".join(word() for _ in range(rng.randint(2, 150)))
+        spans = pii.find([text], tagger)[0][1]
+        assert spans == pii.find([text], tagger, pruned=False)[0][1]
+        total += 1
+        found += (len(before), 0, len(before) + len(made)) in spans
+    assert found > 0.8 * total, found
+
+
+def test_no_edge_cuts_a_long_span():
+    for n in (40, 48, 90, 200, 254):
+        for at in range(0, 400, 7):
+            span = "a" * (n - 12) + "(at)host.org"
+            text = "x" * at + " " + span + " " + "y" * 700
+            starts, x = pii.windows(text)
+            paths = np.zeros(x.shape, np.int8)
+            for k, start in enumerate(starts.tolist()):
+                a, z = at + 1 - start, at + 1 + n - start
+                if a < x.shape[1] and z > 0:
+                    paths[k, max(a, 0) : z] = 2
+                    if a >= 0:
+                        paths[k, a] = 1
+            assert pii.reconcile(text, starts, paths, []) == [(at + 1, 0, at + 1 + n)], (n, at)
