@@ -784,3 +784,41 @@ def planner_replay(spark, sf):
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """A maintained search over the user log."""
     return bfs_incremental(spark, sf)
+
+
+# The same questions over the whole tables: every order probes, and every adjacent pair is compared.
+
+
+@query(f"""with {ARCS}, probe as (select o_custkey as src, o_orderkey % (select count(*) from customer) as dst from orders)
+select distinct src, dst, exists (select 1 from arcs a where a.src = p.src and a.dst = p.dst) as present from probe p""")
+def has_edge_whole(spark, sf):
+    n = customers(spark, sf)
+    probe = table(spark, sf, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % n).alias("dst")).distinct()
+    return probe.join(customer_arcs(spark, sf).withColumn("present", F.lit(True)), ["src", "dst"], "left").select("src", "dst", F.coalesce("present", F.lit(False)).alias("present"))
+
+
+ADJACENT = "pairs as (select src as a, dst as b from arcs where src < dst)"
+
+
+def adjacent_pairs(arcs: DataFrame) -> DataFrame:
+    return arcs.where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+
+
+@query(f"with {ARCS}, {ADJACENT}, {COMMON} select * from com")
+def common_neighbors_whole(spark, sf):
+    arcs = customer_arcs(spark, sf)
+    return similarity.common_neighbors(arcs, adjacent_pairs(arcs))
+
+
+@query(_sql["jaccard"].replace(PAIRS, ADJACENT))
+def jaccard_whole(spark, sf):
+    arcs = customer_arcs(spark, sf)
+    return similarity.jaccard(arcs, adjacent_pairs(arcs))
+
+
+@query(_sql["kernel_choice"].replace(PAIRS, ADJACENT))
+def kernel_choice_whole(spark, sf):
+    arcs = customer_arcs(spark, sf)
+    lists = gr.neighbor_lists(arcs)
+    both = adjacent_pairs(arcs).join(lists.toDF("a", "x"), "a").join(lists.toDF("b", "y"), "b")
+    return both.select("a", "b", decisions.intersection_method(F.size("x"), F.size("y"), F.array_max("x"), F.array_max("y")).alias("method"), decisions.intersection_size(F.col("x"), F.col("y")).cast("long").alias("size"))
