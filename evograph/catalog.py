@@ -822,3 +822,30 @@ def kernel_choice_whole(spark, sf):
     lists = gr.neighbor_lists(arcs)
     both = adjacent_pairs(arcs).join(lists.toDF("a", "x"), "a").join(lists.toDF("b", "y"), "b")
     return both.select("a", "b", decisions.intersection_method(F.size("x"), F.size("y"), F.array_max("x"), F.array_max("y")).alias("method"), decisions.intersection_size(F.col("x"), F.col("y")).cast("long").alias("size"))
+
+
+@query(_sql["components"].replace(SPARSE, ARCS))
+def components_whole(spark, sf):
+    return cc.connected_components(customer_arcs(spark, sf), schema.vertices(spark, customers(spark, sf)))
+
+
+@query(_sql["component_sizes"].replace(SPARSE, ARCS))
+def component_sizes_whole(spark, sf):
+    return cc.sizes(cc.min_labels(customer_arcs(spark, sf), schema.vertices(spark, customers(spark, sf))))
+
+
+@query(_sql["reachable"].replace(SPARSE, ARCS))
+def reachable_whole(spark, sf):
+    arcs, n = customer_arcs(spark, sf).persist(), customers(spark, sf)
+    return traversal.reach(traversal.bfs_distances(arcs, n, arcs.agg(F.min("src")).first()[0]), n)
+
+
+@query(_sql["pagerank_dangling"].replace(SPARSE, ARCS))
+def pagerank_dangling_whole(spark, sf):
+    return pagerank.fixed_rounds(customer_arcs(spark, sf), customers(spark, sf), 12).select("v", F.round("rank", 8).alias("rank"))
+
+
+@query(_sql["dangling_count"].replace(SPARSE, ARCS))
+def dangling_count_whole(spark, sf):
+    n = customers(spark, sf)
+    return customer_arcs(spark, sf).agg((F.lit(n) - F.count_distinct("src")).alias("dangling"))

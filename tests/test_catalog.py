@@ -23,3 +23,23 @@ def test_every_order_probes_and_every_adjacent_pair_is_compared(spark):
     for r in found["jaccard_whole"](spark, SF).collect():
         assert r.common == pairs.pop((r.a, r.b)) and abs(r.jaccard - r.common / len(near[r.a] | near[r.b])) < 1e-12
     assert not pairs
+
+
+def test_components_and_reach_of_the_whole_customer_graph(spark):
+    found, near, n = catalog.queries(), neighbours(spark), catalog.customers(spark, SF)
+    label = {}
+    for v in range(n):
+        if v not in label:
+            label[v], todo = v, [v]
+            while todo:
+                for w in near[todo.pop()]:
+                    if w not in label:
+                        label[w] = v
+                        todo.append(w)
+    names = {c: k for k, c in enumerate(sorted(set(label.values())))}
+    assert dict(found["components_whole"](spark, SF).collect()) == {v: names[c] for v, c in label.items()}
+    sizes = {r.component: r.n for r in found["component_sizes_whole"](spark, SF).collect()}
+    assert sizes == {c: list(label.values()).count(c) for c in names}
+    start = min(v for v in near if near[v])
+    assert found["reachable_whole"](spark, SF).first().reached == sizes[label[start]]
+    assert found["dangling_count_whole"](spark, SF).first()[0] == sum(not near[v] for v in range(n))
