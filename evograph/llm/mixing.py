@@ -73,16 +73,25 @@ def mix(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = (1, 2, 3),
 def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix itself, with the columns of ``docs``: each document as often as the mix takes it.
 
-    Whole documents only: the one that a budget cuts is in if half of it lies within.  Empty documents
+    The document that a budget cuts comes with its first words up to the budget, and ``n_chars`` follows its text.  Empty documents
     go along with the epochs.  ``doc_id`` must identify a document; rows that share it are taken alike, as the first of them is.
     """
     spark_id = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     sized = docs.select("doc_id", "source", common.n_words(F.col("text")).alias("size"))
-    last = F.col("before") + F.col("size") / 2 <= F.col("rest")
-    times = (F.col("epochs") + F.when(last & (F.col("rest") > 0), 1).otherwise(0)).cast("int")
-    how = mix(sized, seed).select(spark_id.alias("_id"), times.alias("_times")).groupBy("_id").agg(F.max("_times").alias("_times"))
+    part = F.col("taken") - F.col("epochs") * F.col("size")
+    last = (F.col("rest") > 0) & ((part > 0) | (F.col("size") == 0) & (F.col("before") <= F.col("rest")))
+    times = (F.col("epochs") + F.when(last, 1).otherwise(0)).cast("int")
+    cut = F.when((part > 0) & (part < F.col("size")), part).cast("int")
+    how = mix(sized, seed).select(spark_id.alias("_id"), times.alias("_times"), cut.alias("_cut")).groupBy("_id").agg(F.max(F.struct("_times", "_cut")).alias("_how")).select("_id", "_how.*")
     chosen = docs.withColumn("_id", spark_id).join(how.where("_times > 0"), "_id")
-    return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    copies = chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    # Pieces are a word with the white space before it, so the first ones are the text's beginning as it stands.
+    pieces = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    is_cut = (F.col("_copy") == F.col("_times")) & F.col("_cut").isNotNull()
+    copies = copies.withColumn("text", F.when(is_cut, F.array_join(F.slice(pieces, F.lit(1), F.coalesce("_cut", F.lit(0))), "")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        copies = copies.withColumn("n_chars", F.when(is_cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return copies.select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -57,3 +57,20 @@ def test_documents_repeat_whole(spark):
     assert max(count.values()) <= 3
     targets = {r.source: r.target for r in mixing.mix(docs.selectExpr("doc_id", "source", "size(split(text, ' ')) as size")).collect()}
     assert all(abs(sizes[s] - t) <= 30 for s, t in targets.items())
+
+
+def test_the_budget_cuts_the_boundary_text_exactly(spark):
+    rows = [(i, "  " + " \n".join(f"w{k}" for k in range(700 if i % 3 else 5)), "s" + str(i % 4), -1) for i in range(24)] + [(100, " ".join(f"w{k}" for k in range(20_000)), "z", -1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    texts, sizes, cut = {i: t for i, t, _, _ in rows}, {}, 0
+    for r in mixing.mixed_documents(docs).collect():
+        sizes[r.source] = sizes.get(r.source, 0) + len(r.text.split())
+        assert texts[r.doc_id].startswith(r.text)
+        if r.text != texts[r.doc_id]:
+            cut += 1
+            assert r.n_chars == len(r.text)
+        else:
+            assert r.n_chars == -1
+    targets = {r.source: r.target for r in mixing.mix(docs.selectExpr("doc_id", "source", "size(split(trim(text), '[ \\n]+')) as size")).collect()}
+    assert cut and set(sizes) == set(targets)
+    assert all(abs(sizes[s] - t) <= 0.5 for s, t in targets.items())
