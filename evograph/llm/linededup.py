@@ -6,8 +6,8 @@ bounded on both sides.  Chunks that occur more than once anywhere are compared b
 their first occurrence (by doc_id, then position), and runs of such chunks long enough to be a passage are removed.
 
 What line chunks cannot see, passages that begin or end inside a line or consist of short lines, is found by words before that.
-Winnowed hashes of ``GRAM`` words nominate texts: any ``WINDOW`` words that two places share hold a common one.  There
-all windows of ``WINDOW`` words are hashed, and those with an earlier occurrence are compared byte by byte with it and cut.
+Winnowed hashes of ``GRAM`` words nominate texts: any ``WINDOW`` words that two places share hold a common one.  All
+windows whose least hash is a repeated one are hashed, and those with an earlier occurrence are compared byte by byte with it and cut.
 """
 
 from __future__ import annotations
@@ -179,12 +179,17 @@ def _grams(h: np.ndarray) -> np.ndarray:
     return _rolled(h, GRAM, 0x9E3779B97F4A7C15)
 
 
-def _winnowed(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The least hash of every window, each once, and how often it occurs in ``g``."""
+def _least(g: np.ndarray) -> np.ndarray:
+    """The least hash of every window of ``WINDOW`` words."""
     least, k, w = g, 1, WINDOW - GRAM + 1
     while 2 * k <= w:
         least, k = np.minimum(least[:-k], least[k:]), 2 * k
-    least = np.unique(np.minimum(least[: len(g) - w + 1], least[w - k :]))
+    return np.minimum(least[: len(g) - w + 1], least[w - k :])
+
+
+def _winnowed(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least hashes of all windows, each once, and how often they occur in ``g``."""
+    least = np.unique(_least(g))
     values, times = np.unique(g, return_counts=True)
     return least, times[np.searchsorted(values, least)]
 
@@ -254,9 +259,8 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def windows(words, row):
         h = _word_hashes(words)
-        near = np.cumsum(np.concatenate([[0], np.isin(_grams(h).view(np.int64), np.array(row["_near"], np.int64))]))
-        w = WINDOW - GRAM + 1
-        at = np.flatnonzero(near[w:] > near[:-w])
+        # Equal windows have the same least hash, so only those whose own is repeated can be.
+        at = np.flatnonzero(np.isin(_least(_grams(h)).view(np.int64), np.array(row["_near"], np.int64)))
         return {"at": at, "a": _rolled(h, WINDOW, 0xBF58476D1CE4E5B9)[at].view(np.int64), "b": _rolled(h, WINDOW, 0x94D049BB133111EB)[at].view(np.int64)}
 
     found = common.materialize(common.arrow_pass(keyed.select(*key, "_text"), emitted(anchors), f"{key_schema}, g long, times int"), "anchors")
