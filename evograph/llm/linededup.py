@@ -1,13 +1,13 @@
 """Removal of repeated passages by content-defined chunks of lines.
 
-Lines are hashed, and a rolling hash over the last line hashes decides where a chunk ends, so
-boundaries depend on nearby content only and shift with it.  A line long enough to stand alone is
-bounded on both sides.  Chunks that occur more than once anywhere are compared byte by byte with
-their first occurrence (by doc_id, then position), and runs of such chunks long enough to be a passage are removed.
-
-What line chunks cannot see, passages that begin or end inside a line or consist of short lines, is found by words before that.
-Winnowed hashes of ``GRAM`` words nominate texts: any ``WINDOW`` words that two places share hold a common one.  All
-windows whose least hash is a repeated one are hashed, and those with an earlier occurrence are compared byte by byte with it and cut.
+Long lines are wrapped: a line ends at a line end, or after a pair of words whose hash says so, which depends on
+these two words only.  A rolling hash over the last ``ROLL`` lines is taken at every line, and where it is the least of
+``NEAR`` neighbouring ones the line is a boundary, with the lines that were rolled over as its chunk.  So boundaries and chunks
+depend on nearby words only and shift with them, and ``NEAR`` lines hold at least one.
+
+Chunks that occur more than once anywhere are laid against their first occurrence (by doc_id, then position).  Chunks at the same distance from
+it are one piece, which is compared with the first occurrence byte by byte, to ``REACH`` words beyond its ends.  Runs of
+words so covered that are long enough to be a passage go.
 """
 
 from __future__ import annotations
@@ -16,182 +16,121 @@ import re
 from itertools import groupby
 
 import numpy as np
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
 
-#: Line hashes that a boundary depends on, and the share of line ends that are boundaries (one in so many).
-ROLL = 2
-ONE_IN = 2
-#: Words from which a line is bounded on both sides.
-LONG_LINE = 16
-#: Words from which a run of repeated chunks is a passage and goes.
-PASSAGE = 32
-#: Words of a window, from which a passage goes wherever it begins, and of a winnowed hash.
-WINDOW, GRAM = 50, 20
+#: A line is wrapped after one pair of words in so many.
+WRAP = 3
+#: Lines of a chunk, and neighbours among which the least hash makes a boundary.
+ROLL, NEAR = 4, 9
+#: Words from which a run of repeated words is a passage and goes.  Passages of 50 words are meant: where one has
+#: several first occurrences, a few words at its ends may stay uncovered.
+PASSAGE = 40
+#: Words from which a run that equals the first occurrence counts.
+RUN = 8
+#: Words that are compared beyond a piece's ends, over twice the usual way from a passage's end to its first chunk; pieces at
+#: most so far apart are compared as one.
+REACH = 40
+#: Words of a block, in which first occurrences are handed out.
+BLOCK = 64
+#: Bytes of texts that are hashed together.
+HASHED = 1 << 20
 _WORD = re.compile(common.WORD.encode())
+_KEY = ["_n", "_i", "_h"]
+_FIRST = ["fn", "fi", "fh"]
+_KEY_SCHEMA = "_n boolean, _i long, _h long"
 
+_PART = 1 << 16
+_STEP, _BACK = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BYTE = np.where(_SPACE, np.uint64(0), np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64))
 
-def chunks(text: str | None, long_line: int = LONG_LINE) -> tuple[list[str], list[tuple[list[int], int, bytes]]]:
-    """The lines, and chunks as (numbers of its lines with a word, words, bytes); lines without a word belong to none."""
-    lines = (text or "").split("\n")
-    found, mine, words, recent = [], [], 0, [0] * ROLL
-    raws: list[bytes] = []
-
-    def close() -> None:
-        nonlocal mine, words, raws
-        if mine:
-            found.append((mine, words, b"\n".join(raws)))
-            mine, words, raws = [], 0, []
-
-    for k, line in enumerate(lines):
-        raw = line.encode("utf-8", "surrogatepass")
-        n = len(raw.split())
-        if not n:
-            continue
-        recent = [*recent[1:], xxhash.xxh64_intdigest(raw, 7)]
-        rolled = 0
-        for h in recent:
-            rolled = (rolled * 0x9E3779B97F4A7C15 + h) & 0xFFFFFFFFFFFFFFFF
-        if n >= long_line:
-            close()
-        mine.append(k)
-        raws.append(raw)
-        words += n
-        if n >= long_line or (rolled >> 32) % ONE_IN == 0:
-            close()
-    close()
-    return lines, found
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
 
+def _powers(of: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, of, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
-def remove_repeats(docs: DataFrame, passage: int = PASSAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with repeated passages cut from ``text``, and ``_removed_lines``, ``_removed_words``, ``_lines`` added.
-
-    The first occurrence stays: that of the smallest id (null last), among equal ids of the text with the smallest
-    hash, then the earliest.  Texts in which nothing repeats come back unchanged, null ones too; a text may become
-    empty, but no row goes.  Rows that share id and text are one document.  Columns of ``docs`` keep their names
-    and types; an empty table stays empty.
-    """
-    columns = docs.columns
-    # One shape for both uses of the text below, so that one shuffle of it serves both.
-    keyed = docs.select(
-        F.coalesce(F.col(id_col).isNull(), F.lit(True)).alias("_n"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("_i"), F.xxhash64(text_col).alias("_h"),
-        F.col(text_col).alias("_text"), F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns))).alias("_row"),
-    )
-    key = ["_n", "_i", "_h"]
-
-    def hashed():
-        def step(x):
-            out: dict[str, list] = {k: [] for k in (*key, "chunk", "a", "b")}
-            for n, i, h, text in zip(x["_n"], x["_i"], x["_h"], x["_text"], strict=True):
-                for k, (_, _, raw) in enumerate(chunks(text)[1]):
-                    d = xxhash.xxh3_128_intdigest(raw)
-                    for name, v in zip(out, (n, i, h, k, _signed(d >> 64), _signed(d & (1 << 64) - 1)), strict=True):
-                        out[name].append(v)
-            return out
-
-        return step
-
-    key_schema = "_n boolean, _i long, _h long"
-    found = common.materialize(common.arrow_pass(keyed.select(*key, "_text"), hashed, f"{key_schema}, chunk int, a long, b long"), "chunks")
-    repeated = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_c"), F.min(F.struct(*key, "chunk")).alias("_f")).where("_c > 1").select("a", "b", "_f")
-    repeated = common.materialize(repeated, "repeated")
-    here = F.struct(*key, "chunk")
-    # Written, so that the joins on hot chunks stand alone, where their partitions can be split.
-    again = common.materialize(found.join(repeated, ["a", "b"]).where(here != F.col("_f")).select(*key, "chunk", "a", "b"), "again")
-    wanted = repeated.select("_f.*", "a", "b").groupBy(*key).agg(F.collect_list(F.struct("chunk", "a", "b")).alias("_wanted"))
-
-    def cut_out():
-        def step(x):
-            out: dict[str, list] = {"a": [], "b": [], "body": []}
-            seen = set()
-            for n, i, h, text, wanted in zip(x["_n"], x["_i"], x["_h"], x["_text"], x["_wanted"], strict=True):
-                if (n, i, h) in seen:
-                    continue
-                seen.add((n, i, h))
-                parts = chunks(text)[1]
-                for w in wanted:
-                    out["a"].append(w["a"])
-                    out["b"].append(w["b"])
-                    out["body"].append(parts[w["chunk"]][2])
-            return out
-
-        return step
-
-    # No aggregate stands between this side and the join, so that a hot chunk's partition can be split; collect_set drops repeats.
-    bodies = common.arrow_pass(keyed.join(wanted, key), cut_out, "a long, b long, body binary")
-    checks = again.join(bodies, ["a", "b"]).groupBy(*key).agg(F.collect_set(F.struct("chunk", "body")).alias("_again"))
-
-    row_type = keyed.schema["_row"].dataType
-
-    def edited():
-        def step(x):
-            out: dict[str, list] = {"_row": x["_row"], "_new": [], "_lines": [], "_removed_lines": [], "_removed_words": []}
-            for text, again in zip(x["_text"], x["_again"], strict=True):
-                new, total, gone, words = text, text.count("\n") + 1 if text is not None else 0, set(), 0
-                if again:
-                    lines, parts = chunks(text)
-                    same = {a["chunk"] for a in again if parts[a["chunk"]][2] == a["body"]}
-                    for repeats, run in groupby(range(len(parts)), key=same.__contains__):
-                        run = list(run)
-                        n = sum(parts[k][1] for k in run)
-                        if repeats and n >= passage:
-                            words += n
-                            gone.update(i for k in run for i in parts[k][0])
-                    if gone:
-                        new = "\n".join(line for i, line in enumerate(lines) if i not in gone)
-                        new = new if new.strip() else ""
-                for name, v in (("_new", new), ("_lines", total), ("_removed_lines", len(gone)), ("_removed_words", words)):
-                    out[name].append(v)
-            return out
-
-        return step
-
-    schema = T.StructType([T.StructField("_row", row_type), T.StructField("_new", T.StringType()), *(T.StructField(n, T.LongType()) for n in ("_lines", "_removed_lines", "_removed_words"))])
-    done = common.arrow_pass(keyed.join(checks, key, "left"), edited, schema)
-    back = [F.col("_new").alias(c) if c == text_col else F.col(f"_row.c{k}").alias(c) for k, c in enumerate(columns)]
-    return done.select(*back, *(c for c in ("_lines", "_removed_lines", "_removed_words") if c not in columns))
 
+_UP, _DOWN = _powers(_STEP, _PART + 1), _powers(_BACK, _PART + 1)
 
-def _rolled(h: np.ndarray, words: int, odd: int) -> np.ndarray:
-    """Hashes of every run of so many words, from the words' hashes."""
-    out = np.zeros(len(h) - words + 1, np.uint64)
-    for k in range(words):
-        out *= np.uint64(odd)
-        out += h[k : k + len(out)]
-    out ^= out >> np.uint64(31)
-    out *= np.uint64(0xD6E8FEB86659FD93)
-    return out ^ out >> np.uint64(32)
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hashes) of the words, which ASCII white space parts.
 
-def _grams(h: np.ndarray) -> np.ndarray:
-    return _rolled(h, GRAM, 0x9E3779B97F4A7C15)
-
-
-def _least(g: np.ndarray) -> np.ndarray:
-    """The least hash of every window of ``WINDOW`` words."""
-    least, k, w = g, 1, WINDOW - GRAM + 1
-    while 2 * k <= w:
-        least, k = np.minimum(least[:-k], least[k:]), 2 * k
-    return np.minimum(least[: len(g) - w + 1], least[w - k :])
-
-
-def _winnowed(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The least hashes of all windows, each once, and how often they occur in ``g``."""
-    least = np.unique(_least(g))
-    values, times = np.unique(g, return_counts=True)
-    return least, times[np.searchsorted(values, least)]
+    A hash is a polynomial over the word's bytes, taken from running sums over the text, so no word is cut out.
+    """
+    buffer = np.frombuffer(raw, np.uint8)
+    starts, low, back, high = [], [], [], []
+    so_far, up, down, space_before = np.zeros(1, np.uint64), _UP[:1], _DOWN[:1], True
+    for at in range(0, len(buffer), _PART):
+        part = buffer[at : at + _PART]
+        space = _SPACE[part]
+        before = np.concatenate([[space_before], space[:-1]])
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE[part] * _UP[: len(part)], out=sums[1:])
+        begin, end = np.flatnonzero(before & ~space), np.flatnonzero(space & ~before)
+        starts.append(begin + at)
+        low.append(so_far + up * sums[begin])
+        back.append(down * _DOWN[begin])
+        high.append(so_far + up * sums[end])
+        so_far, up, down, space_before = so_far + up * sums[-1:], up * _UP[_PART :], down * _DOWN[_PART :], space[-1]
+    if not space_before:
+        high.append(so_far)
+    if not starts:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    return np.concatenate(starts), _mixed((np.concatenate(high) - np.concatenate(low)) * np.concatenate(back))
+
+
+def _slid(x: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
+    """``op`` over every ``width`` neighbours."""
+    k = 1
+    while 2 * k <= width:
+        x, k = op(x[:-k], x[k:]), 2 * k
+    return op(x[: len(x) - (width - k)], x[width - k :])
+
+
+def chunks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text's number, first word, words, hash) of all chunks, and the words of each text."""
+    raw = b"\n".join(texts)
+    starts, h = word_hashes(raw)
+    first = np.searchsorted(starts, np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]))  # word numbers, by text
+    n_words = np.diff(first)
+    if not len(h):
+        return (*(np.empty(0, np.int64),) * 3, np.empty(0, np.uint64), n_words)
+    before = np.concatenate([np.zeros(1, np.uint64), h[:-1]])
+    before[first[:-1][n_words > 0]] = 0
+    last = _mixed(h * _STEP + before) % np.uint64(WRAP) == 0
+    ends = np.searchsorted(starts, np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)) - 1
+    last[ends[ends >= 0]] = last[-1] = True
+    line_end = np.flatnonzero(last) + 1
+    line = np.concatenate([[0], line_end[:-1]])
+    of = np.searchsorted(first, line, side="right") - 1
+    of_first = np.searchsorted(line, first)  # line numbers, by text
+    begin = line[np.maximum(np.arange(len(line)) - ROLL + 1, of_first[of])]
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * _powers(_STEP, len(h)), out=sums[1:])
+    rolled = _mixed((sums[line_end] - sums[begin]) * _powers(_BACK, len(h))[begin])
+    chosen = np.zeros(len(line), bool)
+    if len(line) >= NEAR:
+        least = _slid(rolled, NEAR, np.minimum)
+        least[of[: len(least)] != of[NEAR - 1 :]] = 0
+        none = np.zeros(NEAR - 1, np.uint64)
+        chosen = _slid(np.concatenate([none, least, none]), NEAR, np.maximum) == rolled
+    few = np.flatnonzero((np.diff(of_first) < NEAR) & (n_words > 0))  # texts of fewer lines have one chunk
+    for t in few.tolist():
+        chosen[of_first[t] + int(rolled[of_first[t] : of_first[t + 1]].argmin())] = True
+    at = np.flatnonzero(chosen)
+    return of[at], begin[at] - first[of[at]], line_end[at] - begin[at], rolled[at], n_words
 
 
 def _without(text: str, cuts: list[tuple[int, int]]) -> tuple[str, int]:
@@ -218,145 +157,171 @@ def _without(text: str, cuts: list[tuple[int, int]]) -> tuple[str, int]:
     return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass"), int(gone.sum())
 
 
-def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without passages of ``WINDOW`` words or more that occur earlier, and ``_lines``, ``_cut_lines``, ``_cut_words`` added.
+def _hashed():
+    """Chunks of texts that are long enough to hold a passage."""
+
+    def step(x):
+        of, at, n, c, n_words = chunks([(t or "").encode("utf-8", "surrogatepass") for t in x["_text"]])
+        long = n_words[of] >= PASSAGE
+        of = of[long]
+        return {k: np.array(x[k])[of] for k in _KEY} | {"at": at[long], "n": n[long], "c": c[long].view(np.int64)}
+
+    return step
+
+
+_PIECES = f"{_KEY_SCHEMA}, fn array<boolean>, fi array<long>, fh array<long>, pf array<int>, at array<int>, n array<int>, fat array<int>, bf array<int>, block array<int>"
+
 
-    Every word goes that lies in a window of ``WINDOW`` words with an earlier occurrence, in the order of ``remove_repeats``, but for words
-    of that first occurrence itself where the two overlap.  White space between words does not count.  Other texts come back unchanged.
+def _joined():
+    """Of each text, its first occurrences elsewhere (fn, fi, fh), its pieces (number of the first occurrence, at, n, place there), and the blocks wanted."""
+
+    def step(x):
+        out: dict[str, list] = {f.split()[0]: [] for f in _PIECES.split(", ")}
+        for row in zip(*(x[k] for k in _KEY), x["_all"], strict=True):
+            firsts: dict[tuple, int] = {}
+            pieces: list[list[int]] = []
+            placed = sorted((w["fn"], w["fi"], w["fh"], w["at"] - w["fat"], w["at"], w["n"]) for w in row[-1])
+            for (*key, shift), same in groupby(placed, key=lambda w: w[:4]):
+                f, end = firsts.setdefault(tuple(key), len(firsts)), None
+                for *_, at, n in same:
+                    if end is not None and at <= end + REACH:
+                        end = max(end, at + n)
+                        pieces[-1][2] = end - pieces[-1][1]
+                    else:
+                        end = at + n
+                        pieces.append([f, at, n, at - shift])
+            wanted = sorted({(f, b) for f, _, n, fat in pieces for b in range(max(0, fat - REACH) // BLOCK, (fat + n + REACH - 1) // BLOCK + 1)})
+            for name, v in zip(out, (*row[:-1], *zip(*firsts, strict=True), *zip(*pieces, strict=True), *zip(*wanted, strict=True)), strict=True):
+                out[name].append(v)
+        return out
+
+    return step
+
+
+def _cut_out():
+    """The wanted blocks of first occurrences."""
+
+    def step(x):
+        out: dict[str, list] = {k: [] for k in (*_FIRST, "block", "body")}
+        seen = set()
+        for row in zip(*(x[k] for k in _KEY), x["_text"], x["_wanted"], strict=True):
+            if row[:3] not in seen:
+                seen.add(row[:3])
+                words = row[3].encode("utf-8", "surrogatepass").split()
+                for b in row[4]:
+                    if b * BLOCK < len(words):
+                        for name, v in zip(out, (*row[:3], b, b" ".join(words[b * BLOCK : (b + 1) * BLOCK])), strict=True):
+                            out[name].append(v)
+        return out
+
+    return step
+
+
+def covered(words: list[bytes], pieces: list[tuple], other, passage: int = PASSAGE) -> list[tuple[int, int]]:
+    """Runs (from, to) of ``passage`` words or more that lie in runs of ``RUN`` words or more which equal a first occurrence.
+
+    A piece is (first occurrence, at, n, place there, whether it is this text itself); ``other(first, a, z)`` gives the words a to z there as
+    far as there are any.
     """
-    columns, key = docs.columns, ["_n", "_i", "_h"]
+    gone = np.zeros(len(words) + 2, np.int8)
+    for f, at, n, fat, own in pieces:
+        back = min(REACH, at, fat)
+        a, low = at - back, fat - back
+        there = other(f, low, fat + n + REACH)
+        same = np.fromiter((x == y for x, y in zip(words[a : at + n + REACH], there, strict=False)), np.int8)
+        edges = np.flatnonzero(np.diff(same, prepend=0, append=0)).tolist()
+        for x, z in zip(edges[::2], edges[1::2], strict=True):
+            if z - x >= RUN:
+                # Where both occurrences overlap, the first keeps the length of a passage.
+                start = max(a + x, low + x + passage) if own else a + x
+                gone[start + 1 : max(start, a + z) + 1] = 1
+    edges = np.flatnonzero(np.diff(gone)).tolist()
+    return [(a, z) for a, z in zip(edges[::2], edges[1::2], strict=True) if z - a >= passage]
+
+
+def remove_repeats(docs: DataFrame, passage: int = PASSAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with repeated passages cut from ``text``, and ``_removed_lines``, ``_removed_words``, ``_lines`` added.
+
+    The first occurrence stays: that of the smallest id (null last), among equal ids of the text with the smallest
+    hash, then the earliest.  White space between words does not count.  Texts in which nothing repeats come back unchanged, null
+    ones too; a text may become empty, but no row goes.  Rows that share id and text are one document.  Columns of ``docs`` keep their
+    names and types (the added ones step back for columns of the same name); an empty table stays empty.
+    """
+    if passage < PASSAGE:
+        raise ValueError(f"chunks find passages of {PASSAGE} words or more")
+    columns = docs.columns
+    others = [c for c in columns if c != text_col]
     keyed = docs.select(
         F.coalesce(F.col(id_col).isNull(), F.lit(True)).alias("_n"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("_i"), F.xxhash64(text_col).alias("_h"),
-        F.col(text_col).alias("_text"), F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns))).alias("_row"),
+        F.col(text_col).alias("_text"), F.struct(F.lit(0).alias("c"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others))).alias("_row"),
     )
-    key_schema = "_n boolean, _i long, _h long"
-
-    def emitted(of):
-        """A pass that gives the columns of ``of(words, row)``, by name, with the row's key; none for None."""
-
-        def step(x):
-            keys: dict[str, list] = {k: [] for k in key}
-            columns: dict[str, list] = {}
-            for at, text in enumerate(x["_text"]):
-                words = (text or "").encode("utf-8", "surrogatepass").split()
-                got = of(words, {k: v[at] for k, v in x.items()}) if len(words) >= WINDOW else None
-                if got:
-                    n = len(next(iter(got.values())))
-                    for k in key:
-                        keys[k] += [x[k][at]] * n
-                    for k, v in got.items():
-                        columns.setdefault(k, []).append(v)
-            if not columns:
-                return dict.fromkeys(out_columns, []) | keys
-            return keys | {k: np.concatenate(v) for k, v in columns.items()}
-
-        out_columns = ("g", "times", "at", "a", "b")
-        return lambda: step
-
-    def anchors(words, row):
-        g, times = _winnowed(_grams(_word_hashes(words)))
-        return {"g": g.view(np.int64), "times": times}
-
-    def windows(words, row):
-        h = _word_hashes(words)
-        # Equal windows have the same least hash, so only those whose own is repeated can be.
-        at = np.flatnonzero(np.isin(_least(_grams(h)).view(np.int64), np.array(row["_near"], np.int64)))
-        return {"at": at, "a": _rolled(h, WINDOW, 0xBF58476D1CE4E5B9)[at].view(np.int64), "b": _rolled(h, WINDOW, 0x94D049BB133111EB)[at].view(np.int64)}
-
-    found = common.materialize(common.arrow_pass(keyed.select(*key, "_text"), emitted(anchors), f"{key_schema}, g long, times int"), "anchors")
-    often = common.materialize(found.groupBy("g").agg(F.sum("times").alias("_c")).where("_c > 1").select("g"), "often")
-    # Written, as below, so that the joins on hot hashes stand alone, where their partitions can be split.
-    near = common.materialize(found.join(often, "g").select(*key, "g"), "near").groupBy(*key).agg(F.collect_set("g").alias("_near"))
-    held = common.materialize(common.arrow_pass(keyed.select(*key, "_text").join(near, key), emitted(windows), f"{key_schema}, at int, a long, b long"), "windows")
-    here = F.struct(*key, "at")
-    first = common.materialize(held.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_c"), F.min(here).alias("_f")).where("_c > 1").select("a", "b", "_f"), "first")
-    again = common.materialize(held.join(first, ["a", "b"]).where(here != F.col("_f")).select(*key, "at", F.col("_f._n").alias("fn"), F.col("_f._i").alias("fi"), F.col("_f._h").alias("fh"), F.col("_f.at").alias("fat")), "again_windows")
-
-    def joined():
-        """Windows that follow each other here and in the first occurrence become one piece."""
-
-        def step(x):
-            out: dict[str, list] = {k: [] for k in (*key, "at", "fn", "fi", "fh", "fat", "n")}
-            for n, i, h, all_ in zip(x["_n"], x["_i"], x["_h"], x["_all"], strict=True):
-                last = None
-                for w in sorted({(w["at"], w["fn"], w["fi"], w["fh"], w["fat"]) for w in all_}):
-                    if last and w == (last[0] + 1, *last[1:4], last[4] + 1):
-                        out["n"][-1] += 1
-                    else:
-                        for name, v in zip(out, (n, i, h, *w, WINDOW), strict=True):
-                            out[name].append(v)
-                    last = w
-            return out
-
-        return step
-
-    pieces = again.groupBy(*key).agg(F.collect_list(F.struct("at", "fn", "fi", "fh", "fat")).alias("_all"))
-    pieces = common.materialize(common.arrow_pass(pieces, joined, f"{key_schema}, at int, fn boolean, fi long, fh long, fat int, n int"), "pieces")
-    of_first = ["fn", "fi", "fh", "fat", "n"]
-    wanted = pieces.groupBy(F.col("fn").alias("_n"), F.col("fi").alias("_i"), F.col("fh").alias("_h")).agg(F.collect_set(F.struct("fat", "n")).alias("_wanted"))
-
-    def cut_out():
-        def step(x):
-            out: dict[str, list] = {k: [] for k in (*of_first, "body")}
-            seen = set()
-            for n, i, h, text, wanted in zip(x["_n"], x["_i"], x["_h"], x["_text"], x["_wanted"], strict=True):
-                if (n, i, h) in seen:
-                    continue
-                seen.add((n, i, h))
-                words = text.encode("utf-8", "surrogatepass").split()
-                for w in wanted:
-                    for name, v in zip(out, (n, i, h, w["fat"], w["n"], b" ".join(words[w["fat"] : w["fat"] + w["n"]])), strict=True):
-                        out[name].append(v)
-            return out
-
-        return step
-
-    bodies = common.arrow_pass(keyed.select(*key, "_text").join(wanted, key), cut_out, "fn boolean, fi long, fh long, fat int, n int, body binary")
-    checks = pieces.join(bodies, of_first).groupBy(*key).agg(F.collect_set(F.struct("at", *of_first, "body")).alias("_again"))
-
-    def edited():
-        def step(x):
-            out: dict[str, list] = {"_row": x["_row"], "_new": [], "_lines": [], "_cut_lines": [], "_cut_words": []}
-            for n, i, h, text, again in zip(x["_n"], x["_i"], x["_h"], x["_text"], x["_again"], strict=True):
-                new, lines, count = text, 0, 0
-                if again:
-                    words, cuts = text.encode("utf-8", "surrogatepass").split(), []
-                    for p in again:
-                        a, z = p["at"], p["at"] + p["n"]
-                        if b" ".join(words[a:z]) == p["body"]:
-                            own = (p["fn"], p["fi"], p["fh"]) == (n, i, h)
-                            cuts.append((max(a, p["fat"] + WINDOW) if own else a, z))
-                    if cuts:
-                        new, count = _without(text, cuts)
-                        lines = text.count("\n") - new.count("\n") + (not new)
-                for name, v in (("_new", new), ("_lines", 0 if text is None else text.count("\n") + 1), ("_cut_lines", lines), ("_cut_words", count)):
-                    out[name].append(v)
-            return out
-
-        return step
-
-    schema = T.StructType([T.StructField("_row", keyed.schema["_row"].dataType), T.StructField("_new", T.StringType()), *(T.StructField(n, T.LongType()) for n in ("_lines", "_cut_lines", "_cut_words"))])
-    done = common.arrow_pass(keyed.join(checks, key, "left"), edited, schema)
-    return done.select(*(F.col("_new").alias(c) if c == text_col else F.col(f"_row.c{k}").alias(c) for k, c in enumerate(columns)), *(c for c in ("_lines", "_cut_lines", "_cut_words") if c not in columns))
+    found = common.materialize(common.arrow_pass(keyed.select(*_KEY, "_text"), _hashed, f"{_KEY_SCHEMA}, at int, n int, c long", most=HASHED), "chunks")
+    often = found.groupBy("c").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("c")
+    # Written, as below, so that the joins on hot chunks stand alone, where their partitions can be split.
+    often = common.materialize(often, "often")
+    near = common.materialize(found.join(often, "c"), "repeated_chunks")
+    common.release(found, often)
+    here = F.struct(*_KEY, "at")
+    first = common.materialize(near.groupBy("c").agg(F.min(here).alias("_f")), "first")
+    of_first = [F.col("_f._n").alias("fn"), F.col("_f._i").alias("fi"), F.col("_f._h").alias("fh"), F.col("_f.at").alias("fat")]
+    again = common.materialize(near.join(first, "c").where(here != F.col("_f")).select(*_KEY, "at", "n", *of_first), "again")
+    common.release(near, first)
+    # A text's own chunks only, each once: the list is as long as the text.
+    listed = again.groupBy(*_KEY).agg(F.collect_set(F.struct("at", "n", *_FIRST, "fat")).alias("_all"))
+    pieces = common.materialize(common.arrow_pass(listed, _joined, _PIECES), "pieces")
+    common.release(again)
+    need = pieces.select(*_KEY, *_FIRST, F.explode(F.arrays_zip("bf", "block")).alias("_b"))
+    need = need.select(*_KEY, *(F.element_at(c, F.col("_b.bf") + 1).alias(c) for c in _FIRST), F.col("_b.block").alias("block"))
+    wanted = need.groupBy(*(F.col(f).alias(k) for f, k in zip(_FIRST, _KEY, strict=True))).agg(F.collect_set("block").alias("_wanted"))
+    bodies = common.arrow_pass(keyed.select(*_KEY, "_text").join(wanted, _KEY), _cut_out, "fn boolean, fi long, fh long, block int, body binary")
+    bodies = common.materialize(bodies.groupBy(*_FIRST, "block").agg(F.first("body").alias("body")), "bodies")
+    checks = need.join(bodies, [*_FIRST, "block"]).groupBy(*_KEY).agg(F.collect_set(F.struct(*_FIRST, "block", "body")).alias("_blocks"))
+
+    schema = T.StructType([T.StructField("_row", keyed.schema["_row"].dataType), T.StructField("_new", T.StringType()), *(T.StructField(n, T.LongType()) for n in ("_lines", "_removed_lines", "_removed_words"))])
+    out = common._arrow_schema(schema)
+    parts = ("pf", "at", "n", "fat")
+
+    def edited(batches):
+        for whole in batches:
+            for batch in common.slices(whole):
+                x = batch.select([*_KEY, "_text", *_FIRST, *parts, "_blocks"]).to_pydict()
+                rows = [[], [], [], []]
+                for k, text in enumerate(x["_text"]):
+                    new, lines, count = text, 0, 0
+                    if x["_blocks"][k]:
+                        me, firsts = tuple(x[c][k] for c in _KEY), list(zip(*(x[c][k] for c in _FIRST), strict=True))
+                        held = {((b["fn"], b["fi"], b["fh"]), b["block"]): b["body"] for b in x["_blocks"][k]}
+
+                        def other(f: int, a: int, z: int, held=held, firsts=firsts) -> list[bytes]:
+                            got = [w for b in range(a // BLOCK, (z - 1) // BLOCK + 1) for w in held.get((firsts[f], b), b"").split()]
+                            return got[a % BLOCK : a % BLOCK + z - a]
+
+                        pieces = [(*p, firsts[p[0]] == me) for p in zip(*(x[c][k] for c in parts), strict=True)]
+                        if cuts := covered(text.encode("utf-8", "surrogatepass").split(), pieces, other, passage):
+                            new, count = _without(text, cuts)
+                            lines = text.count("\n") - new.count("\n") + (not new)
+                    for column, v in zip(rows, (new, 0 if text is None else text.count("\n") + 1, lines, count), strict=True):
+                        column.append(v)
+                yield pa.RecordBatch.from_arrays([batch.column("_row").cast(out[0].type), *(pa.array(c, type=f.type) for c, f in zip(rows, list(out)[1:], strict=True))], schema=out)
+
+    done = keyed.join(pieces.select(*_KEY, *_FIRST, *parts), _KEY, "left").join(checks, _KEY, "left").mapInArrow(edited, schema)
+    place = {c: k for k, c in enumerate(others)}
+    back = [F.col("_new").alias(c) if c == text_col else F.col(f"_row.c{place[c]}").alias(c) for c in columns]
+    return done.select(*back, *(c for c in ("_lines", "_removed_lines", "_removed_words") if c not in columns))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` without repeated passages; ``n_chars`` follows the text."""
     columns = docs.columns
-    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns if c != "text")).alias("_doc"), F.col("doc_id"), F.col("text"))
-    got = remove_repeats(common.materialize(remove_passages(named).select("_doc", "doc_id", "text", "_cut_words"), "passages"))
+    got = remove_repeats(docs.select(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in columns if c != "text")).alias("_doc"), F.col("doc_id"), F.col("text")))
     kept = {c: F.col(f"_doc.`{c}`").alias(c) for c in columns} | {"text": F.col("text")}
     if "n_chars" in columns:
-        size = F.when(F.col("_removed_words") + F.col("_cut_words") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
+        size = F.when(F.col("_removed_words") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
         kept["n_chars"] = size.otherwise(F.col("_doc.n_chars")).alias("n_chars")
     return got.select(*kept.values())
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op2: every document without the passages that an earlier one has."""
-    got = remove_passages(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    got = remove_repeats(common.materialize(got, "passages"))
-    return got.select(
-        "doc_id", F.col("_lines").alias("n_lines"), (F.col("_removed_lines") + F.col("_cut_lines")).alias("n_removed_lines"),
-        (F.col("_removed_words") + F.col("_cut_words")).alias("n_removed_words"), "text",
-    )
+    got = remove_repeats(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed_lines").alias("n_removed_lines"), F.col("_removed_words").alias("n_removed_words"), "text")
