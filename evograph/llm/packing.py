@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
@@ -38,7 +39,8 @@ class Encoder:
 
     Text before a space that a non-space follows never merges with what comes after, so ids of space-led
     words are remembered, and unknown words are encoded many at a time, parted by carriage returns.
-    Texts whose white space isn't of that kind are encoded whole.
+    Texts whose white space isn't of that kind are encoded whole.  Added tokens are cut out of a text first, as the library
+    does: the leftmost, of those the longest, with the white space that their flags ask for.
     """
 
     def __init__(self, path: str):
@@ -48,7 +50,13 @@ class Encoder:
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printable]
         byte = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(rest)}
-        special = {t["content"] for t in model.get("added_tokens", [])}
+        added = {t["content"]: t for t in model.get("added_tokens", [])}
+        special = set(added)
+        if any(t.get("single_word") or t.get("normalized") for t in added.values()):
+            raise ValueError("added tokens that match whole words or normalised text are not supported")
+        forms = [r"\s*" * t.get("lstrip", False) + f"({re.escape(c)})" + r"\s*" * t.get("rstrip", False) for c, t in sorted(added.items(), key=lambda x: -len(x[0]))]
+        self.added = re.compile("|".join(forms)) if forms else None
+        self.added_ids = {c: np.array([t["id"]], "<u4").tobytes() for c, t in added.items()}
         ranks = {bytes(byte[c] for c in token): rank for token, rank in model["model"]["vocab"].items() if token not in special}
         # The pre-tokenizer of byte-level BPE (a fixed value).
         pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -74,6 +82,13 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.bpe.encode_ordinary(text), "<u4").tobytes()
 
+    def with_added(self, text: str) -> bytes:
+        out, at = [], 0
+        for m in self.added.finditer(text):
+            out += [self.whole(text[at : m.start()]), self.added_ids[m[m.lastindex]]]
+            at = m.end()
+        return b"".join([*out, self.whole(text[at:])])
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         out = []
         for at in range(0, len(texts), 64):
@@ -85,6 +100,9 @@ class Encoder:
                     self._learn([w for p in split for w in p[1:] if w not in self.known])
             known = self.known
             for t, p in zip(texts[at : at + 64], split, strict=True):
+                if self.added and t and self.added.search(t):
+                    out.append(self.with_added(t))
+                    continue
                 try:
                     out.append(self.whole(p[0]) + b"".join([known[w] for w in p[1:]]))
                 except (TypeError, KeyError):
@@ -209,8 +227,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, tiers: tupl
                 yield pa.RecordBatch.from_arrays([pa.array(rows[f.name][k : k + 50_000], type=f.type) for f in out], schema=out)
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256).to_pydict()
+            for part in map(pa.RecordBatch.to_pydict, common.slices(batch, 256)):
                 for doc_id, raw in zip(part["i"], encode(part["t"]), strict=True):
                     held[at["doc"]] = doc_id, raw + tail
                     pieces.append((at["doc"], 0, len(raw) // 4 + 1))

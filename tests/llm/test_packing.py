@@ -6,7 +6,7 @@ import pytest
 
 from evograph.llm import packing
 
-ODD = ["", " ", "  a", "a  b", "a \n b", "a\tb c", "a\xa0b c", "it's  we'll", "x\r y", "a\n\nb c", " lead", "trail ", "\x1c x", "<|endoftext|> x", "é  b", "1 23 4.5", "don 't", "\n", "a \r b", "   \n\n  x", "　 x"]
+ODD = ["", " ", "  a", "a  b", "a \n b", "a\tb c", "a\xa0b c", "it's  we'll", "x\r y", "a\n\nb c", " lead", "trail ", "\x1c x", "<|endoftext|> x", "x<|endoftext|>y", "a <|endoftext|>", "<|endoftext|><|endoftext|>", "a  <|endoftext|>  b c <|endoftext|>", "<|endoftext", "<|endof<|endoftext|>text|>", "é  b", "1 23 4.5", "don 't", "\n", "a \r b", "   \n\n  x", "　 x"]
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +18,6 @@ def reference(path, texts):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     return [e.ids for e in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
@@ -29,6 +28,24 @@ def test_ids_equal_the_library(path):
     assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == reference(path, texts)
 
 
+def test_flags_of_added_tokens(path, tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    model = json.load(open(path, encoding="utf-8"))
+    n = len(model["model"]["vocab"]) + 1
+    flags = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}
+    model["added_tokens"] += [{"id": n, "content": "<a>"} | flags | {"lstrip": True}, {"id": n + 1, "content": "<ab"} | flags | {"rstrip": True}]
+    (tmp_path / "t.json").write_text(json.dumps(model))
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["<a>", "<ab", "word", " ", "x", "\n", "  ", "é", "<|endoftext|>"]) for _ in range(rng.randint(1, 12))) for _ in range(400)]
+    tok = Tokenizer.from_file(f"{tmp_path}/t.json")
+    got = packing.Encoder(f"{tmp_path}/t.json")(texts)
+    for t, x in zip(texts, got, strict=True):
+        assert np.frombuffer(x, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
+
+
 def test_windows_fill_exactly():
     rng = random.Random(2)
     for last in (True, False):
