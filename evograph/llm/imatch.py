@@ -1,10 +1,11 @@
 """Document fingerprints by I-Match over randomised lexicons.
 
 The lexicon holds the terms whose document frequency lies in a band: neither so common that they say
-nothing nor so rare that any edit changes them.  A document's distinct lexicon terms, in the order
-of their hashes, are hashed once for each of several random sub-lexicons.  Sub-lexicons come in levels
-of falling density; a fingerprint uses those levels at which the document keeps about one term, so
-long and short documents are equally stable.  Likeness is the share of sub-lexicons, of those that hold a term of either, whose hashes agree.
+nothing nor so rare that any edit changes them.  Sub-lexicons are random subsets of it: at level k each term stays with odds
+2^-k.  A document's distinct terms in a sub-lexicon are sorted and hashed together, once for each of ``SUBSETS`` sub-lexicons of two
+neighbouring levels.  The levels follow from the number n of its lexicon terms by one rule, so that about ``TERMS`` to 2 ``TERMS`` of them, and at
+the second level half as many, are hashed at a time: a hash survives an edit only if none of its terms came or went.
+Likeness is the share of sub-lexicons, of those that hold a term of either, whose hashes agree.
 """
 
 from __future__ import annotations
@@ -23,12 +24,9 @@ from . import common
 
 #: The band, as shares of all documents.  At most (mean distinct terms a document) / LOW terms reach the lower end,
 #: whatever the number of documents; so the lexicon's size is bounded, and it may be broadcast.
-LOW, HIGH = 0.0005, 0.05
-#: Documents with fewer lexicon terms than FEW are also marked by all their distinct terms, those with fewer than FEWEST by these alone.
-FEWEST, FEW = 3, 16
-SUBSETS, LEVELS = 32, 24
-#: A level is used if the expected number of terms that it keeps is in this range.
-KEPT = (0.25, 2.0)
+LOW, HIGH = 0.0005, 0.2
+#: Sub-lexicons of a level, and the least number of terms that the first level's leave of a document on average.
+SUBSETS, TERMS = 24, 3
 SEED = 20240501
 #: Terms that a task counts before it passes its counts on.
 COUNTED = 300_000
@@ -49,48 +47,66 @@ def _mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def levels(n: int) -> range:
-    """Levels (densities 2^-level) at which n terms leave an expected number within ``KEPT``."""
-    fit = [k for k in range(LEVELS) if KEPT[0] <= n / 2**k < KEPT[1]]
-    return range(fit[0], fit[-1] + 1) if fit else range(0)
+def level_of(n: np.ndarray) -> np.ndarray:
+    """The first of two levels for documents of n lexicon terms: n / 2^level is ``TERMS`` to 2 ``TERMS``, but for short ones, which use level 1."""
+    return np.maximum(1, np.frexp(np.maximum(n, 1) / TERMS)[1] - 1)
 
 
-def fingerprint(text: str | None, lexicon: np.ndarray) -> str:
-    """Parts joined by ``|``, one for lexicon terms (b), one for all terms (a) of short documents; '' without words.
+def fingerprints_of(texts: list[str], lexicon: np.ndarray) -> list[str]:
+    """The level in two digits, then the hashes of both levels' sub-lexicons in 16 digits each, dashes for empty ones.
 
-    A part is ``<kind><first level>.<last level>:`` and of every non-empty sub-lexicon its level, number and hash.
+    A text without lexicon terms, one without words too, has "out" and a hash of all its terms.
     """
-    all_terms = terms(text or "")
-    if not len(all_terms):
-        return ""
-    at = np.searchsorted(lexicon, all_terms)
-    mine = all_terms[(at < len(lexicon)) & (lexicon[np.minimum(at, len(lexicon) - 1)] == all_terms)] if len(lexicon) else all_terms[:0]
-    return "|".join(["b" + _part(mine)] * (len(mine) >= FEWEST) + ["a" + _part(all_terms)] * (len(mine) < FEW))
-
-
-def _part(mine: np.ndarray) -> str:
-    used = levels(len(mine))
-    draws = _mixed(mine[None, :] ^ _salt[:, None])
+    found = [terms(t) for t in texts]
+    sizes = np.array([len(f) for f in found])
+    every = np.concatenate([*found, np.empty(0, np.uint64)])
+    at = np.minimum(np.searchsorted(lexicon, every), max(len(lexicon) - 1, 0))
+    inside = lexicon[at] == every if len(lexicon) else np.zeros(len(every), bool)
+    mine, doc = every[inside], np.repeat(np.arange(len(texts)), sizes)[inside]
+    n = np.bincount(doc, minlength=len(texts))
+    level = level_of(n)
+    shift = (64 - level[doc]).astype(np.uint64)
+    hashes, some = np.zeros((len(texts), 2 * SUBSETS), np.uint64), np.zeros((len(texts), 2 * SUBSETS), bool)
+    for k in range(SUBSETS):
+        draw = _mixed(mine ^ _salt[k])
+        kept = np.flatnonzero(draw >> shift == 0)
+        for second in (0, 1):
+            if second:
+                kept = kept[draw[kept] >> (shift[kept] - np.uint64(1)) == 0]
+            if len(kept):
+                of = doc[kept]
+                first = np.flatnonzero(np.diff(of, prepend=-1))
+                place = (np.arange(len(of)) - np.repeat(first, np.diff(first, append=len(of)))).astype(np.uint64)
+                with np.errstate(over="ignore"):
+                    sums = np.add.reduceat(_mixed(mine[kept] + (place + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), first)
+                hashes[of[first], second * SUBSETS + k] = _mixed(sums)
+                some[of[first], second * SUBSETS + k] = True
     out = []
-    for level in used:
-        inside = draws >> np.uint64(64 - level) == 0 if level else np.ones(draws.shape, bool)
-        for k in np.flatnonzero(inside.any(1))[: SUBSETS if level else 1].tolist():
-            out.append(f"{level:02d}{k:02d}{xxhash.xxh64_intdigest(mine[inside[k]].tobytes(), level * SUBSETS + k) >> 40:06x}")
-    return f"{used.start}.{used.stop - 1}:" + "".join(out)
+    for k, raw in enumerate(hashes.astype(">u8").view(np.uint8).reshape(len(texts), -1)):
+        if not n[k]:
+            out.append(f"out{xxhash.xxh64_intdigest(found[k].tobytes(), SEED):016x}")
+            continue
+        text = raw.tobytes().hex()
+        if not some[k].all():
+            text = "".join(text[16 * j : 16 * j + 16] if s else "-" * 16 for j, s in enumerate(some[k].tolist()))
+        out.append(f"{level[k]:02d}{text}")
+    return out
 
 
 def likeness(a: str, b: str) -> float:
-    """0 to 1: agreeing hashes over sub-lexicons that hold a term of either, at levels both use; 1 for equal fingerprints, those without words included."""
+    """0 to 1: agreeing hashes over sub-lexicons that hold a term of either, at levels both use; 1 for equal fingerprints."""
     if a == b:
         return 1.0
-    x, y = ({p[0]: p[1:].partition(":") for p in s.split("|") if p} for s in (a, b))
+    if a.startswith("out") or b.startswith("out") or abs(int(a[:2]) - int(b[:2])) > 1:
+        return 0.0
+    skew, width = (int(b[:2]) - int(a[:2])) * SUBSETS * 16, SUBSETS * 16
+    x, y = (a[2 + max(0, skew) :], b[2 + max(0, -skew) :])
     same = either = 0
-    for kind in x.keys() & y.keys():
-        (lo_x, hi_x), (lo_y, hi_y) = (map(int, part[kind][0].split(".")) for part in (x, y))
-        lo, hi = max(lo_x, lo_y), min(hi_x, hi_y)
-        p, q = ({s[i : i + 4]: s[i + 4 : i + 10] for i in range(0, len(s), 10) if lo <= int(s[i : i + 2]) <= hi} for s in (x[kind][2], y[kind][2]))
-        same += sum(q.get(k) == v for k, v in p.items())
-        either += len(p.keys() | q.keys())
+    for k in range(0, min(len(x), len(y)) if skew else 2 * width, 16):
+        p, q = x[k : k + 16], y[k : k + 16]
+        if p[0] != "-" or q[0] != "-":
+            either += 1
+            same += p == q
     return same / either if either else 0.0
 
 
@@ -105,8 +121,8 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH, text_col: str
             seen.clear()
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                for t in batch.column(0).slice(k, 256).to_pylist():
+            for part in common.slices(batch, 256):
+                for t in part.column(0).to_pylist():
                     seen.update(terms(t or "").tolist())
                 if len(seen) > COUNTED:
                     yield from out()
@@ -147,8 +163,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     def spread(batches):
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                ids, texts = batch.column(0).slice(k, 256), batch.column(1).slice(k, 256).to_pylist()
+            for part in common.slices(batch, 256):
+                ids, texts = part.column(0), part.column(1).to_pylist()
                 at, values = place(ids).tolist(), ids.to_pylist()
                 rows = []
                 for b, i, t in zip(at, values, texts, strict=True):
@@ -181,31 +197,31 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataF
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     words = docs.sparkSession.sparkContext.broadcast(lexicon(docs, low, high))
 
+    names, types = [f.split()[0] for f in SCHEMA.split(", ")], (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+
     def paired(batches):
         inflate, lex = zstandard.ZstdDecompressor(), words.value
-        held = None  # (bucket, id, text, fingerprint) of the last document that waits for its next
-        rows: list[tuple] = []
-
-        def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])
-
+        held = None  # (id, text, fingerprint) of the last document, which waits for its next
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256).to_pydict()
-                for bucket, guest, i, absent, z in zip(part["bucket"], part["guest"], part["i"], part["absent"], part["z"], strict=True):
+            for part in common.slices(batch, 256, 1 << 20):
+                x, here, pairs = part.to_pydict(), [], []
+                for guest, i, absent, z in zip(x["guest"], x["i"], x["absent"], x["z"], strict=True):
                     if guest and held is None:
                         continue  # a further guest, of the same id
-                    text = inflate.decompress(z).decode("utf-8", "surrogatepass") if z else ""
-                    mark = fingerprint(text, lex)
+                    now = [None if absent else i, inflate.decompress(z).decode("utf-8", "surrogatepass") if z else "", None]
+                    here.append(now)
                     if held:
-                        was_id, was, was_mark = held
-                        new = edited(was, text)
-                        new_mark = fingerprint(new, lex)
-                        rows.append((was_id, len(was), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), was_mark, new_mark, likeness(was_mark, new_mark), likeness(was_mark, mark)))
-                    held = None if guest else (None if absent else i, text, mark)
+                        pairs.append((held, now, edited(held[1], now[1])))
+                    held = None if guest else now
+                marks = fingerprints_of([d[1] for d in here] + [p[2] for p in pairs], lex)
+                for d, mark in zip(here, marks, strict=False):
+                    d[2] = mark
+                rows = [
+                    (was[0], len(was[1]), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), was[2], mark, likeness(was[2], mark), likeness(was[2], now[2]))
+                    for (was, now, new), mark in zip(pairs, marks[len(here) :], strict=True)
+                ]
                 if rows:
-                    yield done()
-                    rows = []
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
         if held:
             raise ValueError("a document's next one is missing")
 
