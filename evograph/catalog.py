@@ -679,22 +679,6 @@ def layered_diamonds(spark, sf):
     return generators.layered_diamonds(spark, 40, 5)
 
 
-@query()
-def generated_topologies(spark, sf):
-    """Sizes of the hash-drawn graphs, which have no SQL."""
-    made = {"grid": generators.grid_with_shortcuts(spark, 20), "ring": generators.ring_lattice(spark, 400), "chain": generators.chain_with_hubs(spark, 400), "blocks": generators.block_communities(spark, 8, 50), "rmat": generators.rmat(spark, 9, 4000), **generators.stress_topologies(spark)}
-    parts = [df.select(F.lit(name).alias("name"), "src", "dst") for name, df in made.items()]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every.groupBy("name").agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("src").alias("tails"))
-
-
-@query()
-def splitmix_order(spark, sf):
-    return generators.permutation_order(spark.range(1000), "id")
-
-
 # Reports, over a trace made from the events.
 
 
@@ -849,3 +833,6 @@ def pagerank_dangling_whole(spark, sf):
 def dangling_count_whole(spark, sf):
     n = customers(spark, sf)
     return customer_arcs(spark, sf).agg((F.lit(n) - F.count_distinct("src")).alias("dangling"))
+
+
+from . import catalog_more  # noqa: E402, F401  more queries, registered as they are read

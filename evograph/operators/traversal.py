@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..plans import fixpoint
 
+#: Rounds after which the frontiers found so far are written as one table.
+TOGETHER = 8
+
 
 def bfs(arcs: DataFrame, sources: DataFrame, key: tuple[str, ...] = ()) -> DataFrame:
     """(*key, v, d): hop distances of reached vertices from ``sources`` (*key, v).
@@ -17,13 +20,16 @@ def bfs(arcs: DataFrame, sources: DataFrame, key: tuple[str, ...] = ()) -> DataF
     """
     names = [*key, "v"]
     dist = frontier = fixpoint.cut(sources.select(*names).distinct().withColumn("d", F.lit(0).cast("long")))
-    size = frontier.count()
+    size, rounds = frontier.count(), 0
     while size:
+        rounds += 1
         ahead = arcs.join(fixpoint.sized(frontier, size).withColumnRenamed("v", "src"), "src").select(*key, F.col("dst").alias("v"), (F.col("d") + 1).alias("d")).distinct()
         frontier = fixpoint.cut(ahead.join(dist.select(*names), names, "left_anti"))
         size = frontier.count()
         if size:
             dist = dist.unionByName(frontier)
+        if rounds % TOGETHER == 0:  # else plan and scans grow with the depth
+            dist = fixpoint.cut(dist.coalesce(max(1, dist.rdd.getNumPartitions() // TOGETHER)))
     return fixpoint.cut(dist)
 
 
@@ -62,3 +68,26 @@ def sssp_distances(arcs: DataFrame, n: int, source: int, weighted: bool = True)
     if not 0 <= source < n:
         raise IndexError(f"no vertex {source}")
     return with_sentinel(schema.vertices(arcs.sparkSession, n), shortest_paths(arcs, source, weighted), schema.INFINITY)
+
+
+def bfs_encoded(lists: DataFrame, source: int, column: str = "varbyte") -> DataFrame:
+    """(v, d): hop distances over encoded neighbour lists (v, ``column``); only the frontier's lists are decoded, in Arrow batches."""
+    import pyarrow as pa
+
+    from ..functions import codec
+
+    def decoded(batches):
+        for batch in batches:
+            parts = [codec.undeltas(codec.varbyte_decode(raw)) for raw in batch.column(0).to_pylist()]
+            for part in parts:
+                if len(part):
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64())], names=["v"])
+
+    spark, depth = lists.sparkSession, 0
+    dist = frontier = fixpoint.cut(spark.createDataFrame([(source, 0)], "v long, d long"))
+    while size := frontier.count():
+        depth += 1
+        ahead = lists.join(fixpoint.sized(frontier.select("v"), size), "v").select(column).mapInArrow(decoded, "v long").distinct()
+        frontier = fixpoint.cut(ahead.join(dist, "v", "left_anti").withColumn("d", F.lit(depth).cast("long")))
+        dist = fixpoint.cut(dist.unionByName(frontier))
+    return dist

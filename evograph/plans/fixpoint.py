@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +16,10 @@ _dirs: set[str] = set()
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use ``spark.checkpoint.dir``; only where it is unset, as in tests, a temporary folder."""
+    """Use ``spark.checkpoint.dir``; only where it is unset and all runs in one process, as in tests, a temporary folder."""
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.applicationId not in _dirs:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="evograph-"))
         _dirs.add(spark.sparkContext.applicationId)
 
@@ -26,6 +30,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, deleted when the driver's JVM ends."""
+    ensure_checkpoint_dir(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
 def sized(df: DataFrame, rows: int) -> DataFrame:
     """``df``, to be broadcast if it has few enough rows."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
