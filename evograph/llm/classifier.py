@@ -171,15 +171,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
 
 
 def scored(docs: DataFrame, net: Network) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1; null and empty texts too).  Equal texts score alike whatever stands beside them; a column of that name is replaced."""
+    """``docs`` with ``score`` (0 to 1; null and empty texts too).  Equal texts score alike to about six digits; a column of that name is replaced."""
     docs = docs.drop("score")
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
     out = common._arrow_schema(schema)
 
     def run(batches):
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for part in common.slices(batch, 256, 4 << 20):
                 got = net.score(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(part.columns, out, strict=False)] + [pa.array(got)], schema=out)
 
@@ -187,8 +186,9 @@ def scored(docs: DataFrame, net: Network) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """The documents that score ``cut`` or more; columns of ``docs``."""
-    return scored(docs, train(docs, labels)).where(F.col("score") >= cut).select(*docs.columns)
+    """The documents that score ``cut`` or more; columns of ``docs``, one named ``score`` too, as they were."""
+    packed = docs.select(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col("text"))
+    return scored(packed, train(docs, labels)).where(F.col("score") >= cut).select(*(F.col(f"_doc.`{c}`").alias(c) for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -83,15 +83,16 @@ def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     times = (F.col("epochs") + F.when(last, 1).otherwise(0)).cast("int")
     cut = F.when((part > 0) & (part < F.col("size")), part).cast("int")
     how = mix(sized, seed).select(spark_id.alias("_id"), times.alias("_times"), cut.alias("_cut")).groupBy("_id").agg(F.max(F.struct("_times", "_cut")).alias("_how")).select("_id", "_how.*")
-    chosen = docs.withColumn("_id", spark_id).join(how.where("_times > 0"), "_id")
-    copies = chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    packed = docs.select(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), spark_id.alias("_id"), F.col("text").alias("_text"))
+    copies = packed.join(how.where("_times > 0"), "_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     # Pieces are a word with the white space before it, so the first ones are the text's beginning as it stands.
-    pieces = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    pieces = F.split("_text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     is_cut = (F.col("_copy") == F.col("_times")) & F.col("_cut").isNotNull()
-    copies = copies.withColumn("text", F.when(is_cut, F.array_join(F.slice(pieces, F.lit(1), F.coalesce("_cut", F.lit(0))), "")).otherwise(F.col("text")))
+    copies = copies.withColumn("_text", F.when(is_cut, F.array_join(F.slice(pieces, F.lit(1), F.coalesce("_cut", F.lit(0))), "")).otherwise(F.col("_text")))
+    out = {c: F.col(f"_doc.`{c}`").alias(c) for c in docs.columns} | {"text": F.col("_text").alias("text")}
     if "n_chars" in docs.columns:
-        copies = copies.withColumn("n_chars", F.when(is_cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return copies.select(*docs.columns)
+        out["n_chars"] = F.when(is_cut, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_doc.n_chars")).alias("n_chars")
+    return copies.select(*out.values())
 
 
 def query(spark, sf_dir: str) -> DataFrame:
