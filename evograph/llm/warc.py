@@ -164,7 +164,8 @@ def with_revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
     long = F.octet_length("payload") >= least
     first = rows.where(long).groupBy("digest").agg(F.max("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    # Digests of more than one page only; the large side may hold a hot digest, whose partition AQE splits.
+    # Digests of more than one page only.  Written, so that plain exchanges meet in the join and a hot digest's partition can be split.
+    first = common.materialize(first, "first_pages")
     found = rows.join(first, "digest", "left")
     other = F.when((F.col("page_id") < F.col("_first")) | F.col("page_id").isNull(), F.col("_first"))
     return found.select("page_id", "url", "payload", "digest", F.when(long, other).alias("refers_to"))
