@@ -207,8 +207,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, id_
     nodes = common.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
     found = components(links(nodes.select("fp"), radius)).select(F.col("node").alias("fp"), "component")
     classes = nodes.join(found, "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
-    smallest = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = classes.join(smallest, "component").select("fp", "component_id")
+    # Written, so that plain exchanges meet in the joins and the partition of a hot component or fingerprint can be split.
+    classes = common.materialize(classes, "classes")
+    smallest = common.materialize(classes.groupBy("component").agg(F.min("first_id").alias("component_id")), "smallest")
+    named = common.materialize(classes.join(smallest, "component").select("fp", "component_id"), "named")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -361,8 +363,9 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle:
     nodes = common.materialize(named.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("text").alias("text")), "set_nodes")
     found = components(similar_links(nodes.select("node", "text"), similarity, shingle, _frequent(nodes, shingle)))
     classes = nodes.select("node", "first_id").join(found, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
-    smallest = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    back = classes.join(smallest, "component").select("node", "component_id")
+    classes = common.materialize(classes, "classes")
+    smallest = common.materialize(classes.groupBy("component").agg(F.min("first_id").alias("component_id")), "smallest")
+    back = common.materialize(classes.join(smallest, "component").select("node", "component_id"), "named")
     return named.select("doc_id", "node").join(back, "node").select("doc_id", "component_id")
 
 
