@@ -44,6 +44,8 @@ SLACK = 8
 FIRST_WORD = 20
 #: Texts by which shingles are ordered for the prefix filter.
 ORDER_SAMPLE = 4_000
+#: Shingles that the order may set last; more would change the work and no result.
+RANKED = 200_000
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -273,13 +275,19 @@ def set_name(of: np.ndarray) -> int:
 
 
 def _frequent(nodes: DataFrame, shingle: int) -> np.ndarray:
-    """Shingles of several texts of a bounded sample, the more frequent the later.  They only order a set's shingles."""
-    texts = [r[0] for r in nodes.orderBy(F.xxhash64("node")).limit(ORDER_SAMPLE).select(F.substring("text", 1, 4_000)).collect()]
-    if not texts:
-        return np.empty(0, np.uint64)
-    values, times = np.unique(np.concatenate([shingle_set(t, shingle) for t in texts]), return_counts=True)
-    often = np.flatnonzero(times > 1)
-    return values[often[np.lexsort((values[often], times[often]))]]
+    """At most ``RANKED`` shingles of several texts of a bounded sample, the more frequent the later.  They only order a set's shingles.
+
+    The sampled texts are read whole, where they lie; the driver receives hashes and no text.
+    """
+    chosen = nodes.select("node").orderBy(F.xxhash64("node"), "node").limit(ORDER_SAMPLE)
+
+    def make():
+        return lambda x: {"token": np.concatenate([shingle_set(t, shingle) for t in x["text"]]).view(np.int64)}
+
+    texts = nodes.join(F.broadcast(chosen), "node", "left_semi").select("text")
+    times = common.arrow_pass(texts, make, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1")
+    often = times.orderBy(F.desc("_c"), "token").limit(RANKED).select("token").collect()
+    return np.array([r[0] for r in reversed(often)], np.int64).view(np.uint64)
 
 
 def similar_links(nodes: DataFrame, similarity: float, shingle: int, rank: np.ndarray) -> DataFrame:
