@@ -21,8 +21,8 @@ from . import common
 
 PRIME = 2**31 - 1
 ROUNDS = 8
-#: At most this many steps of a walk are unrolled.  Fewer than a positions lie outside, so walks end within
-#: a + 1 steps, and a share below 1/b of positions is outside: beyond 64 steps is only possible for N > 4,000, at odds below 1/b^64.
+#: Steps of a walk that every row takes.  Fewer than a positions lie outside, so walks end within a steps; a row that needs more
+#: than this many, which is possible only for N > 4,000, takes the rest by itself.
 WALK = 64
 
 
@@ -62,9 +62,13 @@ def permuted(x: Column, n: int, seed: int) -> Column:
         start = F.struct(F.floor(value / F.lit(b)).cast("long").alias("left"), (value % b).alias("right"))
         return F.aggregate(keys, start, lambda s, k: F.struct(s.right.alias("left"), ((s.left + mixed(s.right, k)) % k.m).alias("right")), lambda s: s.left * b + s.right)
 
-    steps = min(WALK, a * b - n + 1)
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(-1).cast("long"), lambda at, i: F.when(i == 1, once(x)).when(at >= n, once(at)).otherwise(at))
-    return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("a cycle walk did not end")).cast("long"))
+    def walk(start: Column, steps: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), steps), start, lambda at, i: F.when(at >= n, once(at)).otherwise(at))
+
+    most = a * b - n + 1
+    walked = walk(once(x), F.lit(max(1, min(WALK, most) - 1)))
+    # One element, so that the first walk is evaluated once; the length depends on the row, so that it isn't folded to a long literal.
+    return F.transform(F.array(walked), lambda at: F.when(at < n, at).otherwise(walk(at, F.when(at >= n, F.lit(max(1, most - WALK + 1))).otherwise(F.lit(1)))))[0]
 
 
 def row_numbers(df: DataFrame, order_by: list[str]) -> tuple[DataFrame, int]:
