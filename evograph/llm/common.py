@@ -57,13 +57,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(*written: DataFrame) -> None:
-    """Delete what :func:`materialize` wrote for these, once nothing will read them again."""
+    """Delete what :func:`materialize` wrote for these, once nothing will read them again, and the shuffle files of finished jobs.
+
+    Spark deletes shuffle files when the driver's JVM collects what refers to them, which it may not do for long; so it is asked to.
+    """
     for df in written:
         of, path = _written.pop(id(df), (None, None))
         if of and of() is df:
             spark = df.sparkSession
             hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    if written:
+        written[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

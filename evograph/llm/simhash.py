@@ -335,24 +335,46 @@ def similar_links(nodes: DataFrame, similarity: float, shingle: int, rank: np.nd
         texts = pairs.join(nodes.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(nodes.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
         return common.materialize(common.arrow_pass(texts, lambda: step, "u long, v long", 64), "verified")
 
+    def sized(nx, ny):
+        return F.least(nx, ny) >= similarity * F.greatest(nx, ny) - 1e-9
+
+    def enough(common_tokens, nx, ny):
+        """Whether sets of ``nx`` and ``ny`` shingles that share so many of their first ones can be similar.
+
+        The set whose first shingles end earlier has all other shared ones among its last ceil(similarity n) - 1.
+        """
+        rest = F.ceil(similarity * F.greatest(nx, ny) - 1e-9) - 1
+        return sized(nx, ny) & (common_tokens + rest >= similarity / (1 + similarity) * (nx + ny) - 1e-9)
+
     schema = "token long, node long, n int, p int"
-    held = common.materialize(common.arrow_pass(nodes.select("node", "text"), prefixes, schema), "prefixes")
-    shared = common.materialize(held.groupBy("token").agg(F.count(F.lit(1)).alias("_c"), F.min("node").alias("rep")).where("_c > 1").select("token", "rep"), "shared")
-    held = common.materialize(held.join(shared, "token"), "shared_prefixes")
+    every = common.materialize(common.arrow_pass(nodes.select("node", "text"), prefixes, schema), "prefixes")
+    shared = common.materialize(every.groupBy("token").agg(F.count(F.lit(1)).alias("_c"), F.min(F.struct("node", "n")).alias("_m")).where("_c > 1").select("token", F.col("_m.node").alias("rep"), F.col("_m.n").alias("rep_n")), "shared")
+    held = common.materialize(every.join(shared, "token"), "shared_prefixes")
+    common.release(every, shared)
     # First every set with the one that leads most of its shingles: a large group becomes one component by one comparison a member.
-    votes = held.where("node <> rep").groupBy("node", "rep").agg(F.count(F.lit(1)).alias("_c"))
-    first = verified(votes.groupBy("node").agg(F.max(F.struct("_c", "rep")).alias("_m")).select(F.col("node").alias("u"), F.col("_m.rep").alias("v")))
+    votes = held.where("node <> rep").groupBy("node", "n", "rep", "rep_n").agg(F.count(F.lit(1)).alias("_c")).where(enough(F.col("_c"), F.col("n"), F.col("rep_n")))
+    votes = common.materialize(votes.groupBy("node").agg(F.max(F.struct("_c", "rep")).alias("_m")).select(F.col("node").alias("u"), F.col("_m.rep").alias("v")), "votes")
+    first = verified(votes)
+    common.release(votes)
     found = components(first)
-    # Then all pairs with a shared shingle that are not in one component yet and can be similar by size and place.
-    held = held.select("token", "node", "n", "p").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    held = common.materialize(held, "placed")
-    mixed = held.groupBy("token").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("token")
-    held = common.materialize(held.join(mixed, "token"), "mixed")
-    a, b = (held.select("token", *(F.col(c).alias(c + side) for c in ("node", "n", "p", "component"))) for side in "xy")
+    # Then all pairs that share shingles, are not in one component yet and can be similar by size, place and number of shared shingles.
+    placed = held.select("token", "node", "n", "p").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = common.materialize(placed, "placed")
+    common.release(held)
+    several = placed.groupBy("token").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a <> _b").select("token")
+    mixed = common.materialize(placed.join(several, "token"), "mixed")
+    common.release(placed)
+    a, b = (mixed.select("token", *(F.col(c).alias(c + side) for c in ("node", "n", "p", "component"))) for side in "xy")
+    # Every shared shingle of a pair lies in two components, so all are counted here.
+    alike = (F.col("nodex") < F.col("nodey")) & (F.col("componentx") != F.col("componenty")) & sized(F.col("nx"), F.col("ny"))
+    pairs = a.join(b, "token").where(alike).groupBy("nodex", "nodey", "nx", "ny").agg(F.count(F.lit(1)).alias("_c"), F.min("px").alias("px"), F.min("py").alias("py"))
     most = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
-    near = (F.col("nodex") < F.col("nodey")) & (F.col("componentx") != F.col("componenty")) & (most >= similarity / (1 + similarity) * (F.col("nx") + F.col("ny")) - 1e-9)
-    pairs = common.materialize(a.join(b, "token").where(near).select(F.col("nodex").alias("u"), F.col("nodey").alias("v")).distinct(), "pairs")
-    return first.unionByName(verified(pairs)).distinct()
+    near = enough(F.col("_c"), F.col("nx"), F.col("ny")) & (most >= similarity / (1 + similarity) * (F.col("nx") + F.col("ny")) - 1e-9)
+    pairs = common.materialize(pairs.where(near).select(F.col("nodex").alias("u"), F.col("nodey").alias("v")), "pairs")
+    common.release(mixed)
+    rest = verified(pairs)
+    common.release(pairs)
+    return first.unionByName(rest).distinct()
 
 
 def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -369,12 +391,16 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle:
     named = common.arrow_pass(docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")), make, "doc_id long, node long, text string")
     named = common.materialize(named, "shingle_sets")
     nodes = common.materialize(named.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("text").alias("text")), "set_nodes")
+    # One copy of the texts is held at a time, and what is not read again goes at once.
+    ids = common.materialize(named.select("doc_id", "node"), "set_ids")
+    common.release(named)
     found = components(similar_links(nodes.select("node", "text"), similarity, shingle, _frequent(nodes, shingle)))
     classes = nodes.select("node", "first_id").join(found, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
     classes = common.materialize(classes, "classes")
+    common.release(nodes)
     smallest = common.materialize(classes.groupBy("component").agg(F.min("first_id").alias("component_id")), "smallest")
     back = common.materialize(classes.join(smallest, "component").select("node", "component_id"), "named")
-    return named.select("doc_id", "node").join(back, "node").select("doc_id", "component_id")
+    return ids.join(back, "node").select("doc_id", "component_id")
 
 
 def one_per_group(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = 5) -> DataFrame:

@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -199,3 +200,33 @@ def test_no_pair_of_enough_similarity_is_missed(spark, monkeypatch):
     rows = borderline_corpus()
     got = sorted(map(tuple, simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
     assert got == groups_by_brute_force(rows)
+
+
+def written_rows(monkeypatch):
+    """Names and DataFrames of what is written from now on."""
+    seen, write = {}, simhash.common.materialize
+    monkeypatch.setattr(simhash.common, "materialize", lambda df, name: seen.setdefault(name, []).append(out := write(df, name)) or out)
+    return seen
+
+
+def test_texts_and_shingles_do_not_stay_on_disk(spark, monkeypatch):
+    seen = written_rows(monkeypatch)
+    rows, near, far = edited_corpus()
+    found = simhash.similar_documents(spark.createDataFrame(rows + near + far, "doc_id long, text string"))
+    left = {name for name, dfs in seen.items() for df in dfs if os.path.exists(df.inputFiles()[0].removeprefix("file://") if df.inputFiles() else "")}
+    assert not left & {"shingle_sets", "set_nodes", "prefixes", "shared", "shared_prefixes", "placed", "mixed", "pairs"}
+    assert found.count() == len(rows + near + far)
+
+
+def test_pairs_with_one_rare_shingle_in_common_are_not_compared(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(3, 8)))
+    passage = " ".join(word() for _ in range(7))
+    rows = [(i, " ".join([*(word() for _ in range(100)), passage, *(word() for _ in range(100))])) for i in range(40)]
+    rows += [(100, rows[7][1] + " end"), (101, rows[8][1] + " other end")]
+    monkeypatch.setattr(simhash, "RANKED", 0)  # no sample sets the passage last, as where it is rare on the whole
+    compared, run = [], simhash.common.arrow_pass
+    monkeypatch.setattr(simhash.common, "arrow_pass", lambda df, make, schema, *a: (compared.append(df.count()) if schema == "u long, v long" else None) or run(df, make, schema, *a))
+    got = dict(simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {i: {100: 7, 101: 8}.get(i, i) for i, _ in rows}
+    assert sum(compared) <= 4
