@@ -10,8 +10,9 @@ query the inner branch.  So shards that overlap a boundary see both sides, and n
 Inside a shard, links become a spanning forest, never all pairs, and forests are joined by
 alternating large-star and small-star steps.
 
-Texts of a given shingle similarity differ in far more than 3 bits, and no limit on a sketch tells them exactly.  The pipeline
-groups those by their shingle sets: a prefix filter finds every pair of Jaccard 0.8 or more, and each link is computed exactly.
+Texts of a given shingle similarity differ in far more than 3 bits.  To group those, the pipeline takes SimHash fingerprints of 512 bits over
+shingle sets and as many vantage-point trees as there are slices of them; sets that meet in a shard and differ in few bits are checked for a
+Jaccard similarity of 0.8.  No sketch tells such sets exactly, so a prefix filter finds the pairs that the trees leave, checked likewise.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ SHARD = 1_024
 RADIUS = 3
 SEED = 42
 
-#: Wide fingerprints: words of 64 bits, and rows of a shard.  Only ``wide_forest`` and its limits below use them; the pipeline does not.
-WORDS = 8
+#: Wide fingerprints: words of 64 bits, trees and the bits that each reads, and rows of a shard.
+WORDS, TREES, SLICE = 8, 10, 16
 WIDE_SHARD = 4_096
 SIMILARITY = 0.8
 #: Bits granted beyond the mean at ``SIMILARITY``, one standard deviation.
@@ -47,6 +48,8 @@ ORDER_SAMPLE = 4_000
 #: Shingles that the order may set last; more would change the work and no result.
 RANKED = 200_000
 
+_ODD = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64 | 1 for k in range(WORDS)], np.uint64)[None, :]
+
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """Signed SimHash of the text's word shingles, repeats included; 0 for texts without words."""
@@ -216,6 +219,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, id_
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """SimHash of 512 bits of a shingle set; zeros for an empty one."""
+    count = np.zeros(64 * WORDS, np.int64)
+    for at in range(0, len(hashes), 4_096):
+        # One hash a shingle, turned into eight by odd multipliers and shifts.
+        x = hashes[at : at + 4_096, None] * _ODD
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        bits = np.unpackbits(x.astype("<u8").view(np.uint8), axis=1, bitorder="little")
+        for k in range(0, len(bits), 255):  # so many ones fit in a byte
+            count += np.add.reduce(bits[k : k + 255], axis=0, dtype=np.uint8)
+    return np.packbits((count * 2 > len(hashes)).astype(np.uint8), bitorder="little").tobytes()
+
+
+def node_of(fp: bytes) -> int:
+    """A signed 64-bit name of a wide fingerprint."""
+    return int(np.uint64(xxhash.xxh64_intdigest(fp, SEED)).astype(np.int64))
+
+
 def most_differing(similarity: float) -> int:
     """Bits of a wide fingerprint in which two texts of equal length and this Jaccard similarity differ on average.
 
@@ -260,6 +283,39 @@ def wide_forest(fp: np.ndarray, radius: int, whole: int = 65_536) -> tuple[np.nd
     return (np.concatenate(edges_a), np.concatenate(edges_b)) if edges_a else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
+def wide_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): links, by node, of the rows of ``nodes`` (fp binary, all distinct) that keep the components of all links found.
+
+    ``TREES`` vantage-point trees stand over as many slices of ``SLICE`` bits.  Two texts that agree to one bit
+    in any slice meet in a shard, and shards compare whole fingerprints, so texts that meet by nearness elsewhere link too.
+    """
+    n, radius = nodes.count(), most_differing(similarity)
+    sample = [r[0] for r in nodes.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()]
+    depth = min(max(0, int(np.ceil(np.log2(max(n, 1) / WIDE_SHARD)))), int(np.log2(max(len(sample), 2))) - 1)
+    trees = [Tree(x, depth) for x in _slices(sample)]
+
+    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1_024):
+                part = batch.slice(at, 1_024)
+                for k, (tree, x) in enumerate(zip(trees, _slices(part.column("fp").to_pylist()), strict=True)):
+                    rows, leaves = tree.route(x)
+                    yield pa.RecordBatch.from_arrays([pa.array(leaves * TREES + k, pa.int32()), part.column("fp").take(pa.array(rows))], ["shard", "fp"])
+
+    def in_shard(table: pa.Table) -> pa.Table:
+        fps = table.column("fp").to_pylist()
+        a, b = (np.array([node_of(fps[k]) for k in side], np.int64) for side in wide_forest(np.frombuffer(b"".join(fps), "<u8").reshape(-1, WORDS), radius))
+        return pa.table({"u": pa.array(np.minimum(a, b), pa.int64()), "v": pa.array(np.maximum(a, b), pa.int64())})
+
+    return nodes.select("fp").mapInArrow(routed, "shard int, fp binary").groupBy("shard").applyInArrow(in_shard, "u long, v long").distinct()
+
+
+def _slices(fps: list[bytes]) -> list[np.ndarray]:
+    """The first ``SLICE`` of every 32 bits of each fingerprint, one array a tree."""
+    words = np.frombuffer(b"".join(fps), "<u4").reshape(-1, 2 * WORDS)
+    return [np.ascontiguousarray(words[:, k] & np.uint32((1 << SLICE) - 1)) for k in range(TREES)]
+
+
 def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; a shorter text is one shingle, and one without words has none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -290,10 +346,28 @@ def _frequent(nodes: DataFrame, shingle: int) -> np.ndarray:
     return np.array([r[0] for r in reversed(often)], np.int64).view(np.uint64)
 
 
+def sketched_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): pairs of ``nodes`` (node, fp; one row a shingle set) whose wide fingerprints :func:`wide_links` connects, and each node with the least of equal fingerprint."""
+
+    def make():
+        return lambda x: {"node": x["node"], "print": list(map(node_of, x["fp"])), "fp": x["fp"]}
+
+    named = common.materialize(common.arrow_pass(nodes.select("node", "fp"), make, "node long, print long, fp binary"), "fingerprints")
+    prints = common.materialize(named.groupBy("print").agg(F.min("node").alias("lead"), F.first("fp").alias("fp")), "prints")
+    near = common.materialize(wide_links(prints, similarity), "near_prints")
+    ends = [prints.select(F.col("print").alias(c), F.col("lead").alias(f"lead_{c}")) for c in "uv"]
+    apart = near.join(ends[0], "u").join(ends[1], "v").select(F.col("lead_u").alias("u"), F.col("lead_v").alias("v"))
+    equal = named.select("node", "print").join(prints.select("print", "lead"), "print").where("node <> lead").select(F.col("node").alias("u"), F.col("lead").alias("v"))
+    pairs = common.materialize(apart.unionByName(equal), "sketched")
+    common.release(named, prints, near)
+    return pairs
+
+
 def similar_links(nodes: DataFrame, similarity: float, shingle: int, rank: np.ndarray) -> DataFrame:
-    """(u, v): pairs of ``nodes`` (node, text; one row a shingle set) of exact Jaccard ``similarity`` or more that keep the components of all such pairs.
+    """(u, v): pairs of ``nodes`` (node, fp, text; one row a shingle set) of exact Jaccard ``similarity`` or more that keep the components of all such pairs.
 
-    In any common order of shingles, two similar sets share one among the first n - ceil(similarity n) + 1 of each; rare ones come first.
+    Trees over fingerprints link sets first.  The rest is found exactly: in any common order of shingles, two similar sets share one among
+    the first n - ceil(similarity n) + 1 of each; rare ones come first.
     """
     spark = nodes.sparkSession
     order = np.argsort(rank)
@@ -346,16 +420,20 @@ def similar_links(nodes: DataFrame, similarity: float, shingle: int, rank: np.nd
         rest = F.ceil(similarity * F.greatest(nx, ny) - 1e-9) - 1
         return sized(nx, ny) & (common_tokens + rest >= similarity / (1 + similarity) * (nx + ny) - 1e-9)
 
+    sketched = sketched_links(nodes, similarity)
     schema = "token long, node long, n int, p int"
     every = common.materialize(common.arrow_pass(nodes.select("node", "text"), prefixes, schema), "prefixes")
     shared = common.materialize(every.groupBy("token").agg(F.count(F.lit(1)).alias("_c"), F.min(F.struct("node", "n")).alias("_m")).where("_c > 1").select("token", F.col("_m.node").alias("rep"), F.col("_m.n").alias("rep_n")), "shared")
     held = common.materialize(every.join(shared, "token"), "shared_prefixes")
     common.release(every, shared)
-    # First every set with the one that leads most of its shingles: a large group becomes one component by one comparison a member.
+    # With the trees' links every set is compared with the one that leads most of its shingles: a large group becomes one component by one comparison a member.
     votes = held.where("node <> rep").groupBy("node", "n", "rep", "rep_n").agg(F.count(F.lit(1)).alias("_c")).where(enough(F.col("_c"), F.col("n"), F.col("rep_n")))
     votes = common.materialize(votes.groupBy("node").agg(F.max(F.struct("_c", "rep")).alias("_m")).select(F.col("node").alias("u"), F.col("_m.rep").alias("v")), "votes")
-    first = verified(votes)
-    common.release(votes)
+    tried = votes.unionByName(sketched).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    tried = common.materialize(tried, "tried")
+    common.release(votes, sketched)
+    first = verified(tried)
+    common.release(tried)
     found = components(first)
     # Then all pairs that share shingles, are not in one component yet and can be similar by size, place and number of shared shingles.
     placed = held.select("token", "node", "n", "p").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -380,21 +458,25 @@ def similar_links(nodes: DataFrame, similarity: float, shingle: int, rank: np.nd
 def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id): groups of texts linked by a Jaccard similarity of ``similarity`` or more of their word shingles.
 
-    Every such pair is found and every link is computed on the shingle sets; no sketch decides.  ``component_id`` is the group's smallest ``doc_id``
+    Fingerprints and trees link first, a prefix filter finds every other such pair, and every link is computed on the sets.  ``component_id`` is the group's smallest ``doc_id``
     (null ids name no group).  Texts without words are equal to each other, repeated rows stay, other columns are
     not looked at and an empty table gives no rows.  Equal sets are one node; shingles and sets are told apart by 64-bit hashes.
     """
 
     def make():
-        return lambda x: {"doc_id": x["i"], "node": [set_name(shingle_set(t, shingle)) for t in x["t"]], "text": x["t"]}
+        def step(x):
+            sets = [shingle_set(t, shingle) for t in x["t"]]
+            return {"doc_id": x["i"], "node": list(map(set_name, sets)), "fp": list(map(wide_fingerprint, sets)), "text": x["t"]}
+
+        return step
 
-    named = common.arrow_pass(docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")), make, "doc_id long, node long, text string")
+    named = common.arrow_pass(docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")), make, "doc_id long, node long, fp binary, text string")
     named = common.materialize(named, "shingle_sets")
-    nodes = common.materialize(named.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("text").alias("text")), "set_nodes")
+    nodes = common.materialize(named.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("text").alias("text")), "set_nodes")
     # One copy of the texts is held at a time, and what is not read again goes at once.
     ids = common.materialize(named.select("doc_id", "node"), "set_ids")
     common.release(named)
-    found = components(similar_links(nodes.select("node", "text"), similarity, shingle, _frequent(nodes, shingle)))
+    found = components(similar_links(nodes.select("node", "fp", "text"), similarity, shingle, _frequent(nodes, shingle)))
     classes = nodes.select("node", "first_id").join(found, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
     classes = common.materialize(classes, "classes")
     common.release(nodes)

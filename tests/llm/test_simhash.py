@@ -230,3 +230,39 @@ def test_pairs_with_one_rare_shingle_in_common_are_not_compared(spark, monkeypat
     got = dict(simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == {i: {100: 7, 101: 8}.get(i, i) for i, _ in rows}
     assert sum(compared) <= 4
+
+
+def test_the_stage_links_by_fingerprints_and_trees(spark, monkeypatch):
+    """The stage's trees find most pairs by their fingerprints, and pairs that they propose are checked on the sets."""
+    monkeypatch.setattr(simhash, "WIDE_SHARD", 8)
+    rows, near, far = edited_corpus()
+    names = {i: simhash.set_name(simhash.shingle_set(t)) for i, t in rows + near + far}
+    tried, write = set(), simhash.common.materialize
+
+    def noted(df, name):
+        out = write(df, name)
+        if name == "sketched":
+            tried.update(frozenset(r) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(simhash.common, "materialize", noted)
+    monkeypatch.setattr(simhash, "SLACK", 60)  # so wide that pairs are proposed which are not similar
+    kept = {r[0] for r in simhash.one_per_group(spark.createDataFrame(rows + near + far, "doc_id long, text string")).collect()}
+    assert sum(frozenset((names[i], names[i - 1000])) in tried for i, _ in near) >= 0.9 * len(near)
+    assert any(frozenset((names[i], names[i - 2000])) in tried for i, _ in far)
+    assert kept == {i for i, _ in rows + far}
+
+
+def test_wide_fingerprint_is_a_majority():
+    rng = np.random.default_rng(9)
+    of = rng.integers(0, 1 << 63, 700, np.uint64)
+    bits = np.zeros(512, int)
+    for h in of.tolist():
+        for k, odd in enumerate(simhash._ODD[0].tolist()):
+            x = h * odd % (1 << 64)
+            x ^= x >> 32
+            x = x * 0xD6E8FEB86659FD93 % (1 << 64)
+            x ^= x >> 32
+            bits[64 * k : 64 * k + 64] += [x >> b & 1 for b in range(64)]
+    assert simhash.wide_fingerprint(of) == np.packbits(bits * 2 > 700, bitorder="little").tobytes()
+    assert simhash.wide_fingerprint(of[:0]) == bytes(64)
