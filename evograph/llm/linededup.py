@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from itertools import groupby
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ REACH = 40
 BLOCK = 64
 #: Bytes of texts that are hashed together.
 HASHED = 1 << 20
-_WORD = re.compile(common.WORD.encode())
+_EQUAL = re.compile(b"\x01{%d,}" % RUN)
 _KEY = ["_n", "_i", "_h"]
 _FIRST = ["fn", "fi", "fh"]
 _KEY_SCHEMA = "_n boolean, _i long, _h long"
@@ -136,19 +137,22 @@ def chunks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 def _without(text: str, cuts: list[tuple[int, int]]) -> tuple[str, int]:
     """``text`` without the words of ``cuts`` (from, to), and their number.  Of the white space around a cut one side stays, a line end first."""
     raw = text.encode("utf-8", "surrogatepass")
-    spans = [m.span() for m in _WORD.finditer(raw)]
-    gone = np.zeros(len(spans) + 1, np.int8)
+    space = np.concatenate([[True], _SPACE[np.frombuffer(raw, np.uint8)], [True]])
+    bounds = np.flatnonzero(space[1:] != space[:-1]).reshape(-1, 2)
+    n = len(bounds)
+    gone = np.zeros(n + 1, np.int8)
     for a, z in cuts:
         gone[a:z] = 1
     gone[-1] = 0
     if gone[:-1].all():
-        return "", len(spans)
+        return "", n
     edges = np.flatnonzero(np.diff(gone, prepend=0, append=0)).tolist()
+    spans = {w: bounds[w].tolist() for e in edges for w in (e - 1, e) if 0 <= w < n}
     out, at = [], 0
     for a, z in zip(edges[::2], edges[1::2], strict=True):
         start, left = spans[a][0], spans[a - 1][1] if a else 0
-        end, right = spans[z - 1][1], spans[z][0] if z < len(spans) else len(raw)
-        if z < len(spans) and (a == 0 or b"\n" in raw[left:start]):
+        end, right = spans[z - 1][1], spans[z][0] if z < n else len(raw)
+        if z < n and (a == 0 or b"\n" in raw[left:start]):
             out.append(raw[at:start])
             at = right
         else:
@@ -228,13 +232,11 @@ def covered(words: list[bytes], pieces: list[tuple], other, passage: int = PASSA
         back = min(REACH, at, fat)
         a, low = at - back, fat - back
         there = other(f, low, fat + n + REACH)
-        same = np.fromiter((x == y for x, y in zip(words[a : at + n + REACH], there, strict=False)), np.int8)
-        edges = np.flatnonzero(np.diff(same, prepend=0, append=0)).tolist()
-        for x, z in zip(edges[::2], edges[1::2], strict=True):
-            if z - x >= RUN:
-                # Where both occurrences overlap, the first keeps the length of a passage.
-                start = max(a + x, low + x + passage) if own else a + x
-                gone[start + 1 : max(start, a + z) + 1] = 1
+        for run in _EQUAL.finditer(bytes(map(eq, words[a : at + n + REACH], there))):
+            x, z = run.span()
+            # Where both occurrences overlap, the first keeps the length of a passage.
+            start = max(a + x, low + x + passage) if own else a + x
+            gone[start + 1 : max(start, a + z) + 1] = 1
     edges = np.flatnonzero(np.diff(gone)).tolist()
     return [(a, z) for a, z in zip(edges[::2], edges[1::2], strict=True) if z - a >= passage]
 
@@ -290,10 +292,13 @@ def remove_repeats(docs: DataFrame, passage: int = PASSAGE, id_col: str = "doc_i
                     new, lines, count = text, 0, 0
                     if x["_blocks"][k]:
                         me, firsts = tuple(x[c][k] for c in _KEY), list(zip(*(x[c][k] for c in _FIRST), strict=True))
-                        held = {((b["fn"], b["fi"], b["fh"]), b["block"]): b["body"] for b in x["_blocks"][k]}
+                        numbers = {key: f for f, key in enumerate(firsts)}
+                        held = {(numbers[b["fn"], b["fi"], b["fh"]], b["block"]): b["body"].split() for b in x["_blocks"][k]}
 
-                        def other(f: int, a: int, z: int, held=held, firsts=firsts) -> list[bytes]:
-                            got = [w for b in range(a // BLOCK, (z - 1) // BLOCK + 1) for w in held.get((firsts[f], b), b"").split()]
+                        def other(f: int, a: int, z: int, held=held) -> list[bytes]:
+                            got: list[bytes] = []
+                            for b in range(a // BLOCK, (z - 1) // BLOCK + 1):
+                                got += held.get((f, b), ())
                             return got[a % BLOCK : a % BLOCK + z - a]
 
                         pieces = [(*p, firsts[p[0]] == me) for p in zip(*(x[c][k] for c in parts), strict=True)]

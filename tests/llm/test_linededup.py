@@ -1,4 +1,6 @@
+import operator
 import random
+import time
 
 from evograph.llm import linededup
 
@@ -149,3 +151,25 @@ def test_boundaries_resist_shifts():
     text = "\n".join(" ".join(word(rng, 2, 6) for _ in range(rng.randint(1, 40))) for _ in range(80))
     cut = lambda t: set(linededup.chunks([t.encode()])[3].tolist())
     assert len(cut(text)) > 60 and len(cut(text) - cut("some new words\nat the front " + text)) <= 3
+
+
+def test_pieces_are_compared_at_the_pace_of_plain_lists():
+    """A piece costs a few times what comparing its words one by one costs."""
+    words = [f"w{i}".encode() for i in range(4_000)]
+    there = [b"x" if i % 50 == 0 else w for i, w in enumerate(words)]
+    pieces = [(0, at, 20, at, False) for at in range(100, 3_900, 4)]
+
+    def plain():
+        for _, at, n, fat, _ in pieces:
+            list(map(operator.eq, words[at - 40 : at + n + 40], there[fat - 40 : fat + n + 40]))
+
+    def least(f):
+        times = []
+        for _ in range(7):
+            began = time.process_time()
+            f()
+            times.append(time.process_time() - began)
+        return min(times)
+
+    assert linededup.covered(words, pieces, lambda f, a, z: there[a:z])
+    assert least(lambda: linededup.covered(words, pieces, lambda f, a, z: there[a:z])) < 4 * least(plain)
