@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import schema
+from ..plans import fixpoint
 from .components import dense_numbers
 from .graph import degrees
 
@@ -118,14 +119,25 @@ def first_occurrences(stream: DataFrame) -> DataFrame:
     return rows.select("f.pos", "f.src", "f.dst")
 
 
+def kth_key(keyed: DataFrame, key: str, k: int, digits: int = 4) -> str | None:
+    """The k-th smallest of distinct hex digests, None if k < 1: digests are counted by their first digits, and only those of one such bucket are ordered."""
+    start = F.substring(key, 1, digits)
+    for bucket, n in sorted(keyed.groupBy(start.alias("b")).count().collect()):  # 65,536 rows at most
+        if 0 < k <= n:
+            return keyed.where(start == bucket).select(key).orderBy(key).limit(k).agg(F.max(key)).first()[0]
+        k -= n
+    return None
+
+
 def seeded_split(edges: DataFrame, seed: int, share: float) -> tuple[DataFrame, DataFrame]:
     """(initial, rest) of edges (pos, src, dst) in the order of sha256(seed:pos:src:dst); duplicates are errors.  The share is rounded half to even."""
+    edges = fixpoint.cut(edges)
     if not edges.groupBy("src", "dst").count().where("count > 1").isEmpty():
         raise ValueError("a directed edge occurs twice")
     k = round(edges.count() * share)
     keyed = edges.withColumn("_k", F.sha2(F.concat_ws(":", F.lit(str(seed)), "pos", "src", "dst"), 256))
-    chosen = keyed.orderBy("_k").limit(k)
-    return chosen.drop("_k"), keyed.join(chosen.select("pos"), "pos", "left_anti").drop("_k")
+    last = kth_key(keyed, "_k", k) or ""
+    return keyed.where(F.col("_k") <= last).drop("_k"), keyed.where(F.col("_k") > last).drop("_k")
 
 
 def mutation_stream(rest: DataFrame) -> DataFrame:

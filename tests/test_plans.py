@@ -119,3 +119,16 @@ def test_report(spark):
     rows = spark.createDataFrame([("d", 1, "p", 2.0, 1.0, True, False, False), ("d", 1, "p", 1.0, 1.0, False, False, True)], "dataset string, batch_size int, policy string, batch_us double, oracle_batch_us double, explicit_full boolean, oracle_full boolean, internal_fallback boolean")
     r = reports.regret_summary(rows).first()
     assert (r.mean_regret, r.max_regret, r.wrong_arm_rate, r.internal_fallback_fraction) == (0.5, 1.0, 0.5, 0.5)
+
+
+def test_split_is_exact_and_no_task_gathers_its_rows(spark):
+    import hashlib
+
+    rows = [(p, p * 7 % 50, 100 + p * 3) for p in range(500)]
+    first, rest = streams.seeded_split(spark.createDataFrame(rows, "pos long, src long, dst long"), 11, 0.9)
+    order = sorted(rows, key=lambda r: hashlib.sha256("11:{}:{}:{}".format(*r).encode()).hexdigest())
+    assert {tuple(r) for r in first.collect()} == set(order[:450]) and {tuple(r) for r in rest.collect()} == set(order[450:])
+    assert not any("SinglePartition" in df._jdf.queryExecution().toString() for df in (first, rest))
+    for share, n in ((0.0, 0), (1.0, 500)):
+        first, rest = streams.seeded_split(spark.createDataFrame(rows, "pos long, src long, dst long"), 11, share)
+        assert (first.count(), rest.count()) == (n, 500 - n)
