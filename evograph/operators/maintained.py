@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..plans import fixpoint
 from . import components, kcore, pagerank, similarity, traversal
-from .graph import Graph, UpdateBatch, canonical, oriented
+from .graph import Graph, UpdateBatch, canonical, degrees, oriented
 from .weighted import WeightedGraph, WeightedUpdateBatch
 
 Batch = UpdateBatch | DataFrame
@@ -229,18 +229,19 @@ class IncrementalKCore:
     def recompute(self) -> None:
         self.cores = fixpoint.cut(kcore.core_numbers(self.graph.arcs(), self.graph.vertices()))
 
-    def _around(self, ends: DataFrame) -> DataFrame:
-        return traversal.bfs(self.graph.arcs(), ends).select("v")
-
     def apply(self, batch: Batch) -> None:
         updates = self.graph.frame(batch).where("src <> dst")
         ends = fixpoint.cut(updates.select(F.explode(F.array("src", "dst")).alias("v")).distinct())
-        before = self._around(ends.where(F.col("v") < self.graph.n))
         self.graph.apply(batch)
-        region = fixpoint.cut(before.unionByName(self._around(ends)).distinct())
+        arcs = fixpoint.cut(self.graph.arcs())
+        # All edges that differ have their ends among ``ends``, so what can be reached from there is the same before and after.
+        region = traversal.bfs(arcs, ends).select("v")
         self.last_repaired_vertices = region.count()
-        inside = self.graph.arcs().join(region.withColumnRenamed("v", "src"), "src", "left_semi")
-        new = kcore.core_numbers(inside, region)
+        # Where no vertex gets more than k edges, no core number rises by more than k: what is left of a core without them is a core k lower.
+        added = updates.where("add").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+        gain = degrees(schema.symmetric(added)).agg(F.coalesce(F.max("degree"), F.lit(0))).first()[0]
+        most = self.cores.select("v", (F.col("core") + gain).alias("most"))
+        new = kcore.core_numbers(arcs.join(region.withColumnRenamed("v", "src"), "src", "left_semi"), region, most)
         rest = self.graph.vertices().join(region, "v", "left_anti").join(self.cores, "v", "left").select("v", F.coalesce("core", F.lit(0)).cast("long").alias("core"))
         self.cores = fixpoint.cut(rest.unionByName(new))
 
