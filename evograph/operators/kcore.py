@@ -42,7 +42,7 @@ def _step(first: bool):
     def step(key, left, right):
         b = blocks.Block(key, left, right, np.int32)
         if not b.arcs:
-            return blocks.inbox([(b.id, -1, b.offs, np.zeros(len(b.offs), np.int32), 0.0, 0.0)])
+            return blocks.inbox([(b.id, -1, b.offs, np.zeros(len(b.offs), np.int32), 0.0, 0.0, 0.0)])
         est = np.zeros(blocks.SIZE, np.int64)
         est[b.offs] = b.vals
         changed = 0
@@ -71,11 +71,11 @@ def _step(first: bool):
                 if not len(take):
                     break
             changed = int((est != before).sum())
-        out = [(b.id, -1, b.offs, est[b.offs].astype(np.int32), float(changed), 0.0)]
+        out = [(b.id, -1, b.offs, est[b.offs].astype(np.int32), float(changed), 0.0, 0.0)]
         for to, i, j in b.segments:
             if to != b.id:
                 who = b.src[i:j][np.r_[True, b.src[i + 1:j] != b.src[i:j - 1]]]
-                out.append((to, b.id, who, est[who].astype(np.int32), 0.0, 0.0))
+                out.append((to, b.id, who, est[who].astype(np.int32), 0.0, 0.0, 0.0))
         return blocks.inbox(out)
 
     return step

@@ -261,12 +261,19 @@ class IncrementalPageRank:
 
     def __init__(self, graph: Graph, damping: float = 0.85, rounds: int = 200, tolerance: float = 1e-12):
         self.graph, self.damping, self.rounds, self.tolerance = graph, damping, rounds, tolerance
-        self.last_used_full_recompute, self.last_active_vertices, self.last_iterations = True, 0, 0
+        self.last_used_full_recompute, self.last_active_vertices, self.last_iterations, self._solved = True, 0, 0, None
         self.recompute()
 
     def recompute(self) -> None:
-        got = pagerank.solve(self.graph.arcs(), self.graph.n, self.damping, self.rounds, self.tolerance, "linf")
-        self.ranks, self.last_iterations, self.last_l1, self.last_linf, self.converged = fixpoint.cut(got.ranks), got.iterations, got.l1, got.linf, got.converged
+        got = pagerank.solve(self.graph.arcs(), self.graph.n, self.damping, self.rounds, self.tolerance, "linf", keep=True)
+        self._release(got)
+        self.ranks, self.last_iterations, self.last_l1, self.last_linf, self.converged = got.ranks, got.iterations, got.l1, got.linf, got.converged
+
+    def _release(self, solved: pagerank.Solve | None = None) -> None:
+        """Drop the cached blocks of the last full solve, for those of another or none."""
+        if self._solved is not None and self._solved.state is not None:
+            self._solved.state.close()
+        self._solved, self._solved_version = solved, self.graph.version
 
     def apply(self, batch: Batch, rounds: int = 24, tolerance: float = 1e-9, most_active: float = 0.60) -> None:
         """Full if the vertex count changes, any vertex dangled before or a touched one does after, or too many become active."""
@@ -274,6 +281,7 @@ class IncrementalPageRank:
         dangling = before == 0 or pagerank.dangling_count(self.graph.arcs(), before) > 0
         inserted, deleted = effective_changes(self.graph, updates)
         self.graph.apply(batch)
+        self._release()
         arcs, n = fixpoint.cut(self.graph.arcs()), self.graph.n
         ends = updates.where("src <> dst").select(F.explode(F.array("src", "dst")).alias("v")).distinct()
         self.last_used_full_recompute, self.last_active_vertices = True, 0
@@ -283,7 +291,7 @@ class IncrementalPageRank:
         changed = inserted.unionByName(deleted)
         tails = changed.select("src").distinct()
         active = fixpoint.cut(changed.select(F.col("dst").alias("v")).unionByName(arcs.join(tails, "src", "left_semi").select(F.col("dst").alias("v"))).distinct())
-        ever, limit, ranks, shares = active, max(1, int(n * most_active)), self.ranks, pagerank.spread(arcs)
+        ever, limit, ranks, shares = active, max(1, int(n * most_active)), self.ranks, None
         for k in range(1, rounds + 1):
             size = active.count()
             self.last_active_vertices = ever.count()
@@ -291,6 +299,7 @@ class IncrementalPageRank:
                 break
             if size >= limit or self.last_active_vertices >= limit:
                 return self.recompute()
+            shares = pagerank.spread(arcs) if shares is None else shares
             into = shares.join(fixpoint.sized(active.withColumnRenamed("v", "dst"), size), "dst", "left_semi").join(ranks.toDF("src", "rank"), "src").groupBy(F.col("dst").alias("v")).agg(F.sum(F.col("rank") * F.col("w")).alias("_in"))
             new = active.join(into, "v", "left").select("v", (F.lit((1 - self.damping) / n) + self.damping * F.coalesce("_in", F.lit(0.0))).alias("_new"))
             joined = fixpoint.cut(ranks.join(new, "v", "left").select("v", F.coalesce("_new", "rank").alias("rank"), F.abs(F.coalesce("_new", "rank") - F.col("rank")).alias("_by")))
@@ -301,9 +310,17 @@ class IncrementalPageRank:
 
     def validate_against_full(self, rounds: int = 500, tolerance: float = 1e-12, most_l1: float = 1e-6, most_linf: float = 1e-7) -> PageRankValidation:
         arcs, n = self.graph.arcs(), self.graph.n
-        self._reference = pagerank.solve(arcs, n, self.damping, rounds, tolerance, "linf")
+        # A full solve of this version that didn't go as far is gone on with, else begun from uniform ranks.
+        solved, self._solved = self._solved, None
+        same = solved is not None and solved.state is not None and self._solved_version == self.graph.version and solved.iterations <= rounds and not solved.linf < tolerance
+        if solved is not None and solved.state is not None and not same:
+            solved.state.close()
+        self._reference = pagerank.solve(arcs, n, self.damping, rounds, tolerance, "linf", keep=True, after=solved if same else None)
         l1, linf = pagerank.difference(self.ranks, self._reference.ranks)
-        r1, rinf = pagerank.residual(self.ranks, arcs, n, self.damping)
+        r1 = rinf = 0.0
+        if self._reference.state is not None:
+            r1, rinf = pagerank.residual(self.ranks, self._reference.state)
+            self._reference.state.close()
         return PageRankValidation(l1, linf, r1, rinf, self._reference.converged, l1 <= most_l1 and linf <= most_linf)
 
     def apply_validated(self, batch: Batch, rounds: int = 64, tolerance: float = 1e-10, most_active: float = 0.95, **limits) -> PageRankValidation:

@@ -4,14 +4,71 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..plans import fixpoint
+from ..plans import blocks, fixpoint
 from .graph import degrees
 
 
+class Rounds:
+    """Power iteration over cached blocks: a round sends what each block owes to another, summed by vertex."""
+
+    def __init__(self, arcs: DataFrame, n: int, damping: float):
+        self.n, self.damping = n, damping
+        self.packed, self.parts = blocks.pack_arcs(arcs.select("src", "dst"))
+
+    def start(self, ranks: DataFrame) -> None:
+        self.rows = blocks.one_round(self.packed, self.parts, blocks.pack_values(ranks, "rank", np.float64), _step(None, self.damping))
+        self.lost = self.rows.agg(F.sum("c")).first()[0]
+
+    def advance(self) -> tuple[float, float]:
+        """One round; its change (L1, largest)."""
+        base = ((1.0 - self.damping) + self.damping * self.lost) / self.n
+        self.rows = blocks.one_round(self.packed, self.parts, self.rows, _step(base, self.damping))
+        l1, linf, self.lost = self.rows.agg(F.sum("a"), F.max("b"), F.sum("c")).first()
+        return l1, linf
+
+    def ranks(self) -> DataFrame:
+        return blocks.unpack_values(self.rows, "rank", np.float64, "double")
+
+    def close(self) -> None:
+        self.packed.unpersist()
+
+
+def _step(base: float | None, damping: float):
+    """A round with what every vertex gets in any case; None only sends."""
+
+    def step(key, left, right):
+        b = blocks.Block(key, left, right, np.float64)
+        out_degree = np.bincount(b.src, minlength=blocks.SIZE) if b.arcs else np.zeros(blocks.SIZE, np.int64)
+        rank, got = np.zeros(blocks.SIZE), np.zeros(blocks.SIZE)
+        rank[b.offs] = b.vals
+        new, near = b.vals, b.dst & blocks.MASK if b.arcs else None
+        if base is not None:
+            for _, offs, vals in b.sent:
+                got[offs] += vals
+            for to, i, j in b.segments if b.arcs else ():
+                if to == b.id:
+                    got += np.bincount(near[i:j], rank[b.src[i:j]] / out_degree[b.src[i:j]], blocks.SIZE)
+            new = base + damping * got[b.offs]
+        change = np.abs(new - b.vals)
+        out = [(b.id, -1, b.offs, new, float(change.sum()), float(change.max(initial=0.0)), float(new[out_degree[b.offs] == 0].sum()))]
+        if b.arcs:
+            share = np.zeros(blocks.SIZE)
+            share[b.offs] = new
+            share /= np.maximum(out_degree, 1)
+            for to, i, j in b.segments:
+                if to != b.id:
+                    heads, at = np.unique(near[i:j], return_inverse=True)
+                    out.append((to, b.id, heads, np.bincount(at, share[b.src[i:j]], len(heads)), 0.0, 0.0, 0.0))
+        return blocks.inbox(out)
+
+    return step
+
+
 @dataclass(frozen=True)
 class Solve:
     ranks: DataFrame
@@ -19,6 +76,8 @@ class Solve:
     l1: float
     linf: float
     converged: bool
+    #: The open iteration, if it was to be kept.
+    state: Rounds | None = None
 
 
 def spread(arcs: DataFrame) -> DataFrame:
@@ -27,34 +86,28 @@ def spread(arcs: DataFrame) -> DataFrame:
     return fixpoint.cut(arcs.join(out, "src"))
 
 
-def step(ranks: DataFrame, shares: DataFrame, n: int, damping: float, dangling: float | None = None) -> DataFrame:
-    """(v, rank, before): one round; the rank of vertices without out-arcs is spread over all."""
-    into = ranks.join(shares, ranks.v == shares.src).groupBy(F.col("dst").alias("v")).agg(F.sum(F.col("rank") * F.col("w")).alias("_in"))
-    joined = ranks.join(into, "v", "left")
-    # What arrives is the rank that didn't dangle; ranks sum to one.
-    lost = joined.select(F.sum("rank") - F.coalesce(F.sum("_in"), F.lit(0.0))).first()[0] if dangling is None else dangling
-    base = (1.0 - damping) / n + damping * max(float(lost or 0.0), 0.0) / n
-    return joined.select("v", (F.lit(base) + damping * F.coalesce("_in", F.lit(0.0))).alias("rank"), F.col("rank").alias("before"))
+def solve(arcs: DataFrame, n: int, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-10, rule: str = "l1", keep: bool = False, after: Solve | None = None) -> Solve:
+    """Power iteration from uniform ranks until the L1 change is below, or with ``rule="linf"`` the largest change at most, the tolerance.
 
-
-def solve(arcs: DataFrame, n: int, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-10, rule: str = "l1") -> Solve:
-    """Power iteration from uniform ranks until the L1 change is below, or with ``rule="linf"`` the largest change at most, the tolerance."""
+    ``after`` is a kept solve of the same arcs, whose rounds are gone on with: they are those that this one would begin with.
+    """
     if not 0.0 <= damping <= 1.0:
         raise ValueError("damping must lie in [0, 1]")
     spark = arcs.sparkSession
-    ranks = schema.vertices(spark, n).withColumn("rank", F.lit(1.0 / max(n, 1)))
+    uniform = schema.vertices(spark, n).withColumn("rank", F.lit(1.0 / max(n, 1)))
     if not n:
-        return Solve(ranks, 0, 0.0, 0.0, True)
-    shares, l1, linf = spread(arcs), float("inf"), float("inf")
-    has_dangling = dangling_count(arcs, n) > 0
-    for k in range(1, rounds + 1):
-        new = fixpoint.cut(step(ranks, shares, n, damping, None if has_dangling else 0.0))
-        change = F.abs(F.col("rank") - F.col("before"))
-        l1, linf = new.agg(F.sum(change), F.max(change)).first()
-        ranks = new.select("v", "rank")
-        if l1 < tolerance if rule == "l1" else linf <= tolerance:
-            return Solve(ranks, k, l1, linf, True)
-    return Solve(ranks, rounds, l1, linf, False)
+        return Solve(uniform, 0, 0.0, 0.0, True)
+    if after is None:
+        state, k, l1, linf = Rounds(arcs, n, damping), 0, float("inf"), float("inf")
+        state.start(uniform)
+    else:
+        state, k, l1, linf = after.state, after.iterations, after.l1, after.linf
+    while not (done := l1 < tolerance if rule == "l1" else linf <= tolerance) and k < rounds:
+        l1, linf = state.advance()
+        k += 1
+    if not keep:
+        state.close()
+    return Solve(state.ranks(), k, l1, linf, done, state if keep else None)
 
 
 def fixed_rounds(arcs: DataFrame, n: int, rounds: int, damping: float = 0.85) -> DataFrame:
@@ -73,8 +126,7 @@ def difference(a: DataFrame, b: DataFrame) -> tuple[float, float]:
     return float(row[0] or 0.0), float(row[1] or 0.0)
 
 
-def residual(ranks: DataFrame, arcs: DataFrame, n: int, damping: float = 0.85) -> tuple[float, float]:
-    """(L1, largest) change that one more round would make."""
-    change = F.abs(F.col("rank") - F.col("before"))
-    row = step(ranks, spread(arcs), n, damping).agg(F.sum(change), F.max(change)).first()
-    return float(row[0] or 0.0), float(row[1] or 0.0)
+def residual(ranks: DataFrame, state: Rounds) -> tuple[float, float]:
+    """(L1, largest) change that one more round would make; the state's own ranks are given up."""
+    state.start(ranks)
+    return state.advance()

@@ -20,9 +20,9 @@ BITS = 13
 MASK = (1 << BITS) - 1
 SIZE = 1 << BITS
 
-#: What a block gets: its own values (``sender`` -1) or a message of another; ``a`` and ``b`` are what a round has to sum and to bound.
-INBOX = "block long, sender long, offs binary, vals binary, a double, b double"
-_SCHEMA = pa.schema([("block", pa.int64()), ("sender", pa.int64()), ("offs", pa.binary()), ("vals", pa.binary()), ("a", pa.float64()), ("b", pa.float64())])
+#: What a block gets: its own values (``sender`` -1) or a message of another; ``a``, ``b`` and ``c`` are numbers that the driver sums or bounds.
+INBOX = "block long, sender long, offs binary, vals binary, a double, b double, c double"
+_SCHEMA = pa.schema([("block", pa.int64()), ("sender", pa.int64()), ("offs", pa.binary()), ("vals", pa.binary()), ("a", pa.float64()), ("b", pa.float64()), ("c", pa.float64())])
 
 
 def block_of(c: str) -> Column:
@@ -55,7 +55,7 @@ def pack_values(values: DataFrame, column: str, dtype: type) -> DataFrame:
     """Inbox rows of (v, ``column``)."""
 
     def pack(key, rows):
-        return inbox([(key[0].as_py(), -1, rows.column("v").to_numpy() & MASK, rows.column(column).to_numpy().astype(dtype), 0.0, 0.0)])
+        return inbox([(key[0].as_py(), -1, rows.column("v").to_numpy() & MASK, rows.column(column).to_numpy().astype(dtype), 0.0, 0.0, 0.0)])
 
     return values.groupBy(block_of("v").alias("block")).applyInArrow(pack, INBOX)
 
@@ -72,9 +72,9 @@ def unpack_values(rows: DataFrame, column: str, dtype: type, sql: str) -> DataFr
 
 
 def inbox(rows: list[tuple]) -> pa.Table:
-    """Rows (block, sender, offsets, values, a, b)."""
-    block, sender, offs, vals, a, b = zip(*rows) if rows else ([],) * 6
-    return pa.table([pa.array(block, pa.int64()), pa.array(sender, pa.int64()), pa.array([np.asarray(o, np.uint16).tobytes() for o in offs], pa.binary()), pa.array([np.ascontiguousarray(v).tobytes() for v in vals], pa.binary()), pa.array(a, pa.float64()), pa.array(b, pa.float64())], schema=_SCHEMA)
+    """Rows (block, sender, offsets, values, a, b, c)."""
+    block, sender, offs, vals, a, b, c = zip(*rows) if rows else ([],) * 7
+    return pa.table([pa.array(block, pa.int64()), pa.array(sender, pa.int64()), pa.array([np.asarray(o, np.uint16).tobytes() for o in offs], pa.binary()), pa.array([np.ascontiguousarray(v).tobytes() for v in vals], pa.binary()), pa.array(a, pa.float64()), pa.array(b, pa.float64()), pa.array(c, pa.float64())], schema=_SCHEMA)
 
 
 class Block:

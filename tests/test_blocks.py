@@ -6,7 +6,7 @@ import pytest
 
 from evograph import schema
 from evograph.operators import graph as gr
-from evograph.operators import kcore, maintained, traversal
+from evograph.operators import kcore, maintained, pagerank, traversal
 from evograph.plans import blocks, fixpoint
 
 
@@ -73,3 +73,25 @@ def test_maintained_cores_search_once_a_batch(spark, monkeypatch):
     kept.apply(gr.UpdateBatch([(a, b, True, 0) for a in range(4) for b in range(a)]))
     assert dict(kept.cores.collect()) == naive_cores(edges - {(3, 4)} | {(1, 40)} | {(b, a) for a in range(4) for b in range(a)}, range(41))
     assert len(searches) == 2
+
+
+def test_ranks_across_blocks_and_a_solve_that_goes_on(spark):
+    draw = random.Random(5)
+    n = blocks.SIZE + 60
+    ids = list(range(blocks.SIZE - 40, n))
+    edges = {(a, b) for a, b in ((draw.choice(ids), draw.choice(ids)) for _ in range(300)) if a != b}
+    arcs = spark.createDataFrame(sorted(edges), "src long, dst long")
+    rank, heads = [1 / n] * n, {}
+    for a, b in edges:
+        heads.setdefault(a, []).append(b)
+    for _ in range(6):
+        new = [0.15 / n + 0.85 * sum(r for v, r in enumerate(rank) if v not in heads) / n] * n
+        for a, out in heads.items():
+            for b in out:
+                new[b] += 0.85 * rank[a] / len(out)
+        rank = new
+    got = dict(pagerank.fixed_rounds(arcs, n, 6).collect())
+    assert len(got) == n and max(abs(got[v] - rank[v]) for v in range(n)) < 1e-14
+    first = pagerank.solve(arcs, n, rounds=2, tolerance=0.0, keep=True)
+    more = pagerank.solve(arcs, n, rounds=6, tolerance=0.0, after=first)
+    assert more.iterations == 6 and max(abs(r - rank[v]) for v, r in more.ranks.collect()) < 1e-14
