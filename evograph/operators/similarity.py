@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans import fixpoint
 from .graph import degrees
 
 
@@ -18,8 +19,12 @@ def common_neighbors(arcs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def jaccard(arcs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, common, jaccard); 0 where neither end has a neighbour."""
+    return with_jaccard(arcs, common_neighbors(arcs, pairs))
+
+
+def with_jaccard(arcs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, b, common, jaccard) of (a, b, common)."""
     deg = degrees(arcs)
-    rows = common_neighbors(arcs, pairs)
     for end in ("a", "b"):
         rows = rows.join(deg.select(F.col("v").alias(end), F.col("degree").alias(f"_{end}")), end, "left")
     union = F.coalesce("_a", F.lit(0)) + F.coalesce("_b", F.lit(0)) - F.col("common")
@@ -27,21 +32,30 @@ def jaccard(arcs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def oriented_by_degree(arcs: DataFrame) -> DataFrame:
-    """Each undirected edge from its end of lower (degree, id): no vertex keeps more than O(sqrt(edges)) of them, hubs included."""
+    """(src, dst, degree of dst): each undirected edge from its end of lower (degree, id): no vertex keeps more than O(sqrt(edges)) of them, hubs included."""
     deg = degrees(arcs)
-    rows = arcs.join(deg.select(F.col("v").alias("src"), F.col("degree").alias("_s")), "src").join(deg.select(F.col("v").alias("dst"), F.col("degree").alias("_d")), "dst")
-    return rows.where("_s < _d or (_s = _d and src < dst)").select("src", "dst")
+    rows = arcs.where("src < dst").join(deg.select(F.col("v").alias("src"), F.col("degree").alias("_s")), "src").join(deg.select(F.col("v").alias("dst"), F.col("degree").alias("_d")), "dst")
+    up = F.col("_s") <= F.col("_d")
+    return rows.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("src"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("dst"), F.greatest("_s", "_d").alias("degree"))
 
 
 def triangles(arcs: DataFrame) -> DataFrame:
-    """(a, b, c) once per triangle, in the order of degree."""
-    o = oriented_by_degree(arcs)
-    wedges = o.toDF("a", "b").join(o.toDF("a", "c"), "a").join(o.toDF("b", "c"), ["b", "c"], "left_semi")
-    return wedges.select("a", "b", "c")
+    """(a, b, c) once per triangle, in the order of degree; of two arcs from a, only the pair in that order is looked up."""
+    o = fixpoint.cut(oriented_by_degree(arcs))
+    wedges = o.toDF("a", "b", "_b").join(o.toDF("a", "c", "_c"), "a").where("_b < _c or (_b = _c and b < c)").select("a", "b", "c")
+    return wedges.join(o.select(F.col("src").alias("b"), F.col("dst").alias("c")), ["b", "c"], "left_semi").select("a", "b", "c")
+
+
+def adjacent_common(arcs: DataFrame) -> DataFrame:
+    """(a, b, common) of all adjacent pairs a < b, counted from the triangles: each gives one to its three edges."""
+    sides = F.array(*(F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")) for x, y in (("a", "b"), ("a", "c"), ("b", "c"))))
+    found = triangles(arcs).select(F.explode(sides).alias("e")).groupBy("e.a", "e.b").agg(F.count(F.lit(1)).alias("common"))
+    pairs = arcs.where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    return pairs.join(found, ["a", "b"], "left").select("a", "b", F.coalesce("common", F.lit(0)).alias("common"))
 
 
 def triangle_count(arcs: DataFrame) -> DataFrame:
-    return triangles(arcs).agg(F.count(F.lit(1)).alias("triangles"))
+    return triangles(fixpoint.cut(arcs)).agg(F.count(F.lit(1)).alias("triangles"))
 
 
 def triangle_delta(arcs: DataFrame, changed: DataFrame) -> int:
