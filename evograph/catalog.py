@@ -15,7 +15,7 @@ from .operators import generators, kcore, maintained, pagerank, reports, similar
 from .operators import graph as gr
 from .operators.temporal import TemporalGraph
 from .operators.weighted import WeightedGraph
-from .plans import consolidation, planner
+from .plans import consolidation, fixpoint, planner
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
@@ -790,14 +790,13 @@ def adjacent_pairs(arcs: DataFrame) -> DataFrame:
 
 @query(f"with {ARCS}, {ADJACENT}, {COMMON} select * from com")
 def common_neighbors_whole(spark, sf):
-    arcs = customer_arcs(spark, sf)
-    return similarity.common_neighbors(arcs, adjacent_pairs(arcs))
+    return similarity.adjacent_common(fixpoint.cut(customer_arcs(spark, sf)))
 
 
 @query(_sql["jaccard"].replace(PAIRS, ADJACENT))
 def jaccard_whole(spark, sf):
-    arcs = customer_arcs(spark, sf)
-    return similarity.jaccard(arcs, adjacent_pairs(arcs))
+    arcs = fixpoint.cut(customer_arcs(spark, sf))
+    return similarity.with_jaccard(arcs, similarity.adjacent_common(arcs))
 
 
 @query(_sql["kernel_choice"].replace(PAIRS, ADJACENT))

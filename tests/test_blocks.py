@@ -6,7 +6,7 @@ import pytest
 
 from evograph import schema
 from evograph.operators import graph as gr
-from evograph.operators import kcore, maintained, pagerank, traversal
+from evograph.operators import kcore, maintained, pagerank, similarity, traversal
 from evograph.plans import blocks, fixpoint
 
 
@@ -95,3 +95,12 @@ def test_ranks_across_blocks_and_a_solve_that_goes_on(spark):
     first = pagerank.solve(arcs, n, rounds=2, tolerance=0.0, keep=True)
     more = pagerank.solve(arcs, n, rounds=6, tolerance=0.0, after=first)
     assert more.iterations == 6 and max(abs(r - rank[v]) for v, r in more.ranks.collect()) < 1e-14
+
+
+def test_adjacent_pairs_are_counted_from_triangles(spark):
+    ids, edges = crossing(8, 30, 150)
+    near = {v: {a + b - v for a, b in edges if v in (a, b)} for v in ids}
+    arcs = arcs_of(spark, edges)
+    got = {(r.a, r.b): r.common for r in similarity.adjacent_common(arcs).collect()}
+    assert got == {(a, b): len(near[a] & near[b]) for a, b in edges}
+    assert similarity.triangle_count(arcs).first()[0] * 3 == sum(got.values())
