@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..plans import fixpoint
+from ..plans import blocks, fixpoint
 from . import components, kcore, pagerank, similarity, traversal
 from .graph import Graph, UpdateBatch, canonical, degrees, oriented
 from .weighted import WeightedGraph, WeightedUpdateBatch
@@ -132,7 +132,7 @@ def _relaxed(dist: DataFrame, offered: DataFrame, arcs: DataFrame) -> DataFrame:
     best = offers.groupBy(F.col("dst").alias("v")).agg(F.min(F.col("d") + F.col("w")).alias("_n"))
     seeds = fixpoint.cut(best.join(dist, "v", "left").where("d is null or _n < d").select("v", F.col("_n").alias("d")))
     start = dist.unionByName(seeds).groupBy("v").agg(F.min("d").alias("d"))
-    return fixpoint.relax(start, seeds, arcs, most=schema.INFINITY - 1)[0]
+    return blocks.relax(start, seeds, arcs, schema.INFINITY - 1)
 
 
 class IncrementalWeightedSSSP:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..plans import fixpoint
+from ..plans import blocks, fixpoint
 
 #: Rounds after which the frontiers found so far are written as one table.
 TOGETHER = 8
@@ -61,7 +61,7 @@ def shortest_paths(arcs: DataFrame, source: int, weighted: bool = True) -> DataF
     spark = arcs.sparkSession
     arcs = arcs if weighted else arcs.select("src", "dst", F.lit(1).cast("long").alias("w"))
     start = spark.createDataFrame([(source, 0)], "v long, d long")
-    return fixpoint.relax(start, start, arcs, most=schema.INFINITY - 1)[0]
+    return blocks.relax(start, start, arcs, schema.INFINITY - 1)
 
 
 def sssp_distances(arcs: DataFrame, n: int, source: int, weighted: bool = True) -> DataFrame:

@@ -104,3 +104,17 @@ def test_adjacent_pairs_are_counted_from_triangles(spark):
     got = {(r.a, r.b): r.common for r in similarity.adjacent_common(arcs).collect()}
     assert got == {(a, b): len(near[a] & near[b]) for a, b in edges}
     assert similarity.triangle_count(arcs).first()[0] * 3 == sum(got.values())
+
+
+def test_distances_across_wide_blocks_and_along_a_path(spark, cuts):
+    wide, n = 1 << blocks.WIDE, 40
+    weight = {(v, v + 1): 3 for v in range(n)} | {(5, wide + 1): 0, (wide + 1, 30): 1, (30, 2): 1, (7, 2**32 - 9): schema.INFINITY - 1}
+    arcs = spark.createDataFrame([(a, b, w) for (a, b), w in weight.items()], "src long, dst long, w long")
+    want, changed = {0: 0}, True
+    while changed:
+        changed = False
+        for (a, b), w in weight.items():
+            if a in want and want[a] + w < min(want.get(b, schema.INFINITY), schema.INFINITY):
+                want[b], changed = want[a] + w, True
+    assert dict(traversal.shortest_paths(arcs, 0).collect()) == want
+    assert len(cuts) < 12
